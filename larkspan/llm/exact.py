@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, settle, shuffle_parts
+from .common import SPACE, ids_filter, settle, shuffle_parts
 
 #: A digest with more than this share of the rows is joined by broadcast; at most 1 / share digests can be.
 HOT_SHARE = 0.001
@@ -108,3 +108,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = settle(sizes.join(index.read().hint("merge"), "digest"), "groups")
     index.drop()
     return mark(slim, groups)
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the first of each group of equal texts only; rows equal in id and text become one."""
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
+    rest = ids_filter(docs, settle(gone, "gone"), id_col, "left_anti")
+    return rest.dropDuplicates() if docs.select(id_col).count() != docs.select(id_col).distinct().count() else rest
