@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact, jaccard, langid, mixing, packing, quality, sharding, urlfilter
+from . import exact, jaccard, langid, mixing, packing, quality, sharding, substring, suffix, urlfilter
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -17,6 +17,10 @@ URL_RULES = [
 ]
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -54,11 +62,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_substring_index": op7_substring_index,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
