@@ -9,9 +9,10 @@ n - ceil(t * n) + 1 tokens, and at least two in prefixes longer by one.  So in t
   sets within the size ratio t of LONG use both forms, so that no pair falls between them.
 
 Documents that meet under a key are candidates; every candidate is verified on the two whole texts.  Small buckets
-give all their pairs.  Large buckets first give pairs with their first and last document; those that prove to be
-links make components, and then only pairs across components are left to try, so a bucket of many near copies never
-becomes all its pairs, and no component is missed.  Documents with equal sets are one vertex from the start.
+give all their pairs.  Large buckets first give pairs with a few pivots; those that prove to be links make components,
+and then only pairs across components are left to try, so a bucket of many near copies never becomes all its pairs, and
+no component is missed.  Pairs whose sizes, or whose positions of the shared tokens, leave no room for the overlap that
+is needed are never made.  Documents with equal sets are one vertex from the start.
 
 The frequent tokens are found by counts over all documents, kept per batch of tokens when at least two; being an
 order only, they decide the cost and never the result.
@@ -43,6 +44,9 @@ FREQUENT_MAX = 400_000
 LONG = 400
 #: Buckets up to this size give all their pairs at once.
 SMALL = 48
+#: Orders by which pivots are drawn, and rounds: all but the last try pivots, the last tries all that is left.
+PIVOTS = 6
+PIVOT_TURNS = 2
 #: Tokens gathered in a worker before they are counted.
 COUNT_BATCH = 3_000_000
 
@@ -105,7 +109,8 @@ def _needed(n: np.ndarray, similar: int) -> np.ndarray:
 
 
 def index_rows(docs: DataFrame, frequent: np.ndarray, wide: bool, k: int = SHINGLE, similar: int = SIMILAR, long: int = LONG) -> DataFrame:
-    """(key, doc_id, n, pos): the rare tokens of each extended prefix, or with ``wide`` the keys of frequent ones."""
+    """(key, doc_id, n, pos): the rare tokens of each extended prefix; or with ``wide`` the keys of frequent ones, where
+    ``pos`` is the room: the overlap that is possible if the key's tokens are the first that two sets share."""
     tokens = frequent.view(np.uint64)
     order = np.argsort(tokens)
     shared = docs.sparkSession.sparkContext.broadcast((tokens[order], order.astype(np.uint64)))
@@ -135,15 +140,16 @@ def index_rows(docs: DataFrame, frequent: np.ndarray, wide: bool, k: int = SHING
                 take = inside & f
                 v, d, p = v[take], doc[take], pos[take]
                 single = n[d] * 100 >= similar * long
-                parts = [(v[single], d[single], p[single])]
+                room = n[d] - p
+                parts = [(v[single], d[single], room[single])]
                 pairs = n[d] * similar < 100 * long
-                v, d, p = v[pairs], d[pairs], p[pairs]
+                v, d, room = v[pairs], d[pairs], room[pairs]
                 base = K.mix(v ^ K.U(0x5151))
                 for step in range(1, int(np.bincount(d).max()) if len(d) else 0):
                     same = d[step:] == d[:-step]
                     if not same.any():
                         break
-                    parts.append((K.mix(base[:-step][same] * K.U(3) + base[step:][same]), d[step:][same], p[:-step][same]))
+                    parts.append((K.mix(base[:-step][same] * K.U(3) + base[step:][same]), d[step:][same], room[step:][same] + 1))
                 out = tuple(np.concatenate(x) for x in zip(*parts))
             key, d, p = out
             for i in range(0, len(key), 200_000):
@@ -164,7 +170,7 @@ def _fits(na, pa_, nb, pb, similar):
 
 
 def bucket_pairs(rows: DataFrame, similar: int = SIMILAR, small: int = SMALL) -> DataFrame:
-    """Meet rare keys: (a, b, key, n).  Small buckets give pairs; the rows of large ones come back with b null."""
+    """Meet rare keys: (a, b, key, n, room).  Small buckets give pairs; the rows of large ones come back with b null."""
     parts = shuffle_parts(rows.sparkSession)
 
     def work(batches):
@@ -194,14 +200,14 @@ def bucket_pairs(rows: DataFrame, similar: int = SIMILAR, small: int = SMALL) ->
         if out_a:
             pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
             zeros = np.zeros(len(pairs), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(zeros), pa.array(zeros.astype(np.int32))], ["a", "b", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(zeros), pa.array(zeros.astype(np.int32)), pa.array(zeros.astype(np.int32))], ["a", "b", "key", "n", "room"])
         if big.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(key[big]), pa.array(n[big].astype(np.int32))],
-                ["a", "b", "key", "n"],
+                [pa.array(doc[big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(key[big]), *[pa.array(x[big].astype(np.int32)) for x in (n, n - pos)]],
+                ["a", "b", "key", "n", "room"],
             )
 
-    return rows.repartition(parts, "key").mapInArrow(work, "a long, b long, key long, n int")
+    return rows.repartition(parts, "key").mapInArrow(work, "a long, b long, key long, n int, room int")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
@@ -233,6 +239,49 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, similar: int = S
     return both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
+def size_class(n, similar: int):
+    """Sizes of similar sets are in the same class or in neighbouring ones."""
+    return F.floor(F.ln(n) / F.lit(float(np.log(100.0 / similar)) * 1.0001)).cast("int")
+
+
+def _possible(x: str, y: str, similar: int):
+    """Sizes fit, and after the shared tokens both sets have room for the overlap that is needed."""
+    a, b = F.col(f"{x}n").cast("long"), F.col(f"{y}n").cast("long")
+    need = F.ceil(similar * (a + b) / F.lit(100.0 + similar) - 1e-9)
+    return (F.least(a, b) * 100 >= similar * F.greatest(a, b)) & (F.least(F.col(f"{x}room"), F.col(f"{y}room")) >= need)
+
+
+def _pairs(x: str, y: str):
+    return F.least(f"{x}doc_id", f"{y}doc_id").alias("a"), F.greatest(f"{x}doc_id", f"{y}doc_id").alias("b")
+
+
+def _pivot_pairs(rows: DataFrame, turn: int, similar: int) -> DataFrame:
+    """Each member of a bucket with one pivot of its own size class; keys share PIVOTS orders by which pivots are chosen,
+    so a document that stands in many buckets meets several pivots, but not one per bucket."""
+    order = F.xxhash64("doc_id", F.pmod("key", F.lit(PIVOTS)), F.lit(turn))
+    best = F.min_by(F.struct("doc_id", "n", "room"), order).alias("p")
+    pivots = rows.groupBy("key", "size_class").agg(best).select("key", "size_class", F.col("p.doc_id").alias("p_doc_id"), F.col("p.n").alias("p_n"), F.col("p.room").alias("p_room"))
+    met = rows.join(pivots, ["key", "size_class"]).where(F.col("doc_id") != F.col("p_doc_id")).where(_possible("", "p_", similar))
+    return met.select(*_pairs("", "p_")).distinct()
+
+
+def _split_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets whose members are not all in one component, with the component as ``c``."""
+    named = rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    named = named.withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id")
+    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    return named.join(split, "key", "left_semi")
+
+
+def _cross_pairs(rows: DataFrame, turn: int, similar: int) -> DataFrame:
+    """All pairs of a bucket across components that size and room allow."""
+    x = rows.select("key", "size_class", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "room", "c")])
+    near = F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class")
+    y = rows.select("key", near, *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "room", "c")])
+    met = x.join(y, ["key", "size_class"]).where((F.col("x_c") < F.col("y_c")) & _possible("x_", "y_", similar))
+    return met.select(*_pairs("x_", "y_"))
+
+
 def similar_components(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR, frequent: int = FREQUENT, small: int = SMALL, long: int = LONG) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (smallest id of equal sets), component_id."""
     docs = docs.select("doc_id", "text")
@@ -249,41 +298,28 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR
     common = frequent_tokens(singles, k, frequent)
     met = settle(bucket_pairs(index_rows(singles, common, False, k, similar, long), similar, small), "met")
     near = met.where("b is not null").select("a", "b")
-    wide = met.where("b is null").select("key", F.col("a").alias("doc_id"), "n")
+    wide = met.where("b is null").select("key", F.col("a").alias("doc_id"), "n", "room")
     if len(common):
-        wide = wide.unionByName(index_rows(singles, common, True, k, similar, long).select("key", "doc_id", "n"))
-    ends = wide.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("lo"), F.max(F.struct("doc_id", "n")).alias("hi"))
-    ends = ends.where("lo.doc_id < hi.doc_id")
-    wide = settle(wide.join(ends, "key"), "wide")
-
-    def fits(a, b):
-        return F.least(a, b).cast("long") * 100 >= similar * F.greatest(a, b).cast("long")
-
-    pivots = [
-        wide.where((F.col("doc_id") != F.col(f"{e}.doc_id")) & fits(F.col("n"), F.col(f"{e}.n"))).select(
-            F.least("doc_id", f"{e}.doc_id").alias("a"), F.greatest("doc_id", f"{e}.doc_id").alias("b")
-        )
-        for e in ("lo", "hi")
-    ]
-    tried = settle(near.unionByName(pivots[0].distinct()).unionByName(pivots[1].distinct()).distinct(), "tried")
+        rows = index_rows(singles, common, True, k, similar, long)
+        wide = wide.unionByName(rows.select("key", "doc_id", "n", F.col("pos").alias("room")))
+    counts = wide.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    wide = settle(wide.join(counts.select("key"), "key").withColumn("size_class", size_class(F.col("n"), similar)), "wide")
+    tried = settle(near.unionByName(_pivot_pairs(wide, 0, similar)).distinct(), "tried")
     links = settle(verify(tried, docs, k, similar), "links")
     labels = settle(components(links), "labels")
-    # what is left of the large buckets: pairs across components
-    seen = wide.select("key", "doc_id", "n").distinct().join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    seen = seen.withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id")
-    split = seen.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    seen = settle(seen.join(split, "key", "left_semi"), "across")
-    if not seen.isEmpty():
-        x, y = seen.alias("x"), seen.alias("y")
-        rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & fits(F.col("x.n"), F.col("y.n")))
-        rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-        rest = settle(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-        more = settle(verify(rest, docs, k, similar), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
+    for turn in range(1, PIVOT_TURNS + 1):
+        split = settle(_split_buckets(wide, labels), "split")
+        if split.isEmpty():
+            break
+        last = turn == PIVOT_TURNS
+        pairs = (_cross_pairs if last else _pivot_pairs)(split, turn, similar)
+        pairs = settle(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "more")
+        tried = tried.unionByName(pairs)
+        found = settle(verify(pairs, docs, k, similar), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
             labels = settle(components(links), "labels")
-    degree = links.select(F.col("a").alias("class_id")).unionByName(links.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("n_found"))
-    named = classes.select("h1", "h2", "n", "class_id").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").join(degree, "class_id", "left")
+    named = classes.select("h1", "h2", "n", "class_id").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     named = settle(named.withColumn("component_id", F.coalesce("component_id", "class_id")), "named")
     out = slim.join(named, ["h1", "h2", "n"], "left")
     return out.select(
@@ -291,7 +327,6 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR
         F.col("n").alias("n_shingles"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_found", F.lit(0)).alias("n_found"),
     )
 
 
