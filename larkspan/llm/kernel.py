@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer single document is its own chunk.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 U = np.uint64
 
 

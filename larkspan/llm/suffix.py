@@ -8,7 +8,8 @@ sorted from several starts: for a range of starts, those that agree on what all
 agree on everything the windows touch are settled, and the rest is halved, down to single starts.
 
 Equal contexts are one class with a count, so copies are never sorted against each other.  A group of more than CAP
-classes is not gathered: each of its windows is counted by a 128-bit digest instead, an aggregation that splits.
+anchors is not gathered: its windows are counted by 128-bit digests instead, ranges of them first, an aggregation that
+splits.
 
 Cases: a null text is empty; matches never cross documents; a text shorter than the window keeps everything; overlaps
 of a string with itself count; equal rows are two places, so long ones go entirely; rows with a null id lose nothing;
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, shuffle_parts
-from .windows import anchor_rows, contexts, cut_report, window_digests
+from .windows import anchor_rows, contexts, cut_report, range_digests, window_digests
 
 WINDOW = 400
 #: Depth of the multikey quicksort before blind tries take over.
 SHALLOW = 16
 #: Anchors with one gram that a task may gather.
 CAP = 400
+#: Offsets that are counted as one range before single windows are.
+RANGE = 16
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -197,6 +200,35 @@ def _sorted_groups(rows: DataFrame, window: int) -> DataFrame:
     return rows.repartition(parts, "fp").sortWithinPartitions("fp").mapInArrow(work, "fp long, ch long, w1 int, w2 int")
 
 
+def _counted_groups(docs: DataFrame, classes: DataFrame, window: int, width: int = RANGE) -> DataFrame:
+    """(fp, ch, w1, w2) for the classes of large groups, by counting digests; nothing of a group is gathered.
+
+    Ranges of offsets come first: what a range's windows share must occur twice, else none of them repeats; if all they
+    touch occurs twice, all of them do.  The windows one by one are only counted for ranges that neither rule settles,
+    together with one class for each text that the second rule found.
+    """
+    ranges = settle(range_digests(docs, classes, window, width), "ranges")
+    shared = ranges.groupBy("i1", "i2").agg(F.sum("n").alias("c")).where("c > 1").select("i1", "i2")
+    alive = ranges.join(shared, ["i1", "i2"])
+    touched = alive.where("whole").groupBy("u1", "u2").agg(F.sum("n").alias("c"), F.min(F.struct("fp", "ch")).alias("one")).where("c > 1")
+    alive = settle(alive.join(touched, ["u1", "u2"], "left").withColumn("done", F.col("c").isNotNull() & F.col("whole")), "alive")
+    place = classes.select("fp", "ch", "doc_id", "q", "p1", "p2")
+    low, high = F.col("g") * width, F.col("g") * width + width - 1
+    at = alive.join(place, ["fp", "ch"])
+    first, last = F.greatest(F.col("p1"), F.col("q") - high), F.least(F.col("p2"), F.col("q") - low)
+    whole = at.where("n = 1 and done").select("fp", "ch", (first - F.col("p1")).alias("w1"), (last - F.col("p1")).alias("w2"))
+    todo = alive.where("n = 1 and not done").select("i1", "i2").distinct()
+    part = at.join(todo, ["i1", "i2"], "left_semi").where(~F.col("done") | (F.col("one") == F.struct("fp", "ch")))
+    # the class that stands for a settled text counts for all of its copies
+    times = F.when(F.col("done") | (F.col("n") > 1), 2).otherwise(1).cast("long")
+    part = part.select("fp", "ch", times.alias("n"), "doc_id", "q", first.alias("p1"), last.alias("p2"))
+    digests = settle(window_digests(docs, part, window, False), "digests")
+    twice = digests.groupBy("d1", "d2").agg(F.sum("n").alias("c")).where("c > 1").select("d1", "d2")
+    one = digests.where("n = 1").join(twice, ["d1", "d2"]).select("fp", "ch", F.col("o").alias("w"))
+    spot = one.join(place, ["fp", "ch"]).select("fp", "ch", (F.col("q") - F.col("w") - F.col("p1")).alias("w1"))
+    return whole.unionByName(spot.select("fp", "ch", "w1", F.col("w1").alias("w2")))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> DataFrame:
     """(doc_id, s, e): bytes covered by windows that start at two places or more."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
@@ -209,10 +241,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> Dat
     # a class that is all of its gram's anchors has no other to be compared with
     open_ = classes.where(F.col("n") < F.col("total"))
     sorted_ = _sorted_groups(contexts(docs, open_.where(F.col("total") <= cap), window), window)
-    large = open_.where(F.col("total") > cap)
-    digests = settle(window_digests(docs, large, window, False), "digests")
-    twice = digests.groupBy("d1", "d2").agg(F.sum("n").alias("c")).where("c > 1").select("d1", "d2")
-    counted = digests.where("n = 1").join(twice, ["d1", "d2"]).select("fp", "ch", F.col("s").alias("w1"), F.col("s").alias("w2"))
+    counted = _counted_groups(docs, open_.where(F.col("total") > cap), window)
     whole = classes.where("n > 1").select("fp", "ch", F.lit(0).alias("w1"), (F.col("p2") - F.col("p1")).alias("w2"))
     found = settle(whole.unionByName(sorted_).unionByName(counted), "found")
     hit = met.select("fp", "ch", "doc_id", "p1").join(found, ["fp", "ch"])

@@ -18,8 +18,6 @@ from . import kernel as K
 from .common import ids_filter
 
 ANCHORS = "fp long, ch long, doc_id long, q int, p1 int, p2 int"
-#: Spans of one run that may be broadcast to cut the texts; beyond it texts and spans are shuffled.
-BROADCAST_SPANS = 1_000_000
 
 
 def units(data, off, words: bool):
@@ -86,7 +84,8 @@ def contexts(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
 
 
 def window_digests(docs: DataFrame, reps: DataFrame, window: int, words: bool) -> DataFrame:
-    """128-bit digests of every window of each class: (d1, d2, fp, ch, s, n), s counted from the context's first."""
+    """128-bit digests of every window of each class: (d1, d2, fp, ch, s, o, n); s counts from the context's first
+    window, o is how far the window starts before the anchor."""
 
     def work(batches):
         for batch in batches:
@@ -99,7 +98,7 @@ def window_digests(docs: DataFrame, reps: DataFrame, window: int, words: bool) -
                     size = end - start
                     begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
                     finish = begin + size
-                fp, ch, n, _, p1, p2 = _places(batch, i)
+                fp, ch, n, q, p1, p2 = _places(batch, i)
                 count = p2 - p1 + 1
                 row = np.repeat(np.arange(len(fp)), count)
                 s = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -108,21 +107,46 @@ def window_digests(docs: DataFrame, reps: DataFrame, window: int, words: bool) -
                 got = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist())])
                 d = np.frombuffer(got, dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(fp[row]), pa.array(ch[row]), pa.array(s.astype(np.int32)), pa.array(n[row])],
-                    ["d1", "d2", "fp", "ch", "s", "n"],
+                    [pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(fp[row]), pa.array(ch[row]), pa.array(s.astype(np.int32)), pa.array((q[row] - p).astype(np.int32)), pa.array(n[row])],
+                    ["d1", "d2", "fp", "ch", "s", "o", "n"],
                 )
 
-    return at_texts(docs, reps).mapInArrow(work, "d1 long, d2 long, fp long, ch long, s int, n long")
+    return at_texts(docs, reps).mapInArrow(work, "d1 long, d2 long, fp long, ch long, s int, o int, n long")
 
 
-def cut_report(docs: DataFrame, spans: DataFrame, words: bool, limit: int = BROADCAST_SPANS, keep_text: bool = False) -> DataFrame:
+def range_digests(docs: DataFrame, reps: DataFrame, window: int, width: int) -> DataFrame:
+    """Per class and range of ``width`` anchor offsets: the digest of the bytes that all windows of the range share and
+    of the bytes that any of the class's windows there touches.
+
+    (fp, ch, n, g, i1, i2, u1, u2, whole): the range is g * width .. (g + 1) * width - 1, ``whole`` says that the class
+    has all its windows.
+    """
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                raw = batch.column("text")[i].as_py().encode()
+                for f, c, n, q, p1, p2 in zip(*(x.tolist() for x in _places(batch, i))):
+                    for g in range((q - p2) // width, (q - p1) // width + 1):
+                        low, high = g * width, g * width + width - 1
+                        first, last = max(p1, q - high), min(p2, q - low)  # the class's windows in the range
+                        shared = hashlib.blake2b(raw[q - low : q - high + window], digest_size=16).digest()
+                        touched = hashlib.blake2b(raw[first : last + window], digest_size=16).digest()
+                        out.append((f, c, n, g, *np.frombuffer(shared + touched, dtype=np.int64).tolist(), last - first == high - low))
+            if out:
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["fp", "ch", "n", "g", "i1", "i2", "u1", "u2", "whole"])
+
+    return at_texts(docs, reps).mapInArrow(work, "fp long, ch long, n long, g int, i1 long, i2 long, u1 long, u2 long, whole boolean")
+
+
+def cut_report(docs: DataFrame, spans: DataFrame, words: bool, keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_units, n_removed, n_spans, kept_sha256 and, if asked for, the kept text.
 
     ``spans`` has (doc_id, s, e), half open, in units.  Kept bytes are concatenated, kept words joined by one space.
     """
     listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    if spans.count() <= limit:
-        listed = F.broadcast(listed)
     joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(listed, "doc_id", "left")
     names = ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256"] + ["text"] * keep_text
 
