@@ -44,9 +44,10 @@ FREQUENT_MAX = 400_000
 LONG = 400
 #: Buckets up to this size give all their pairs at once.
 SMALL = 48
-#: Orders by which pivots are drawn, and rounds: all but the last try pivots, the last tries all that is left.
-PIVOTS = 6
-PIVOT_TURNS = 2
+#: Orders by which pivots are drawn in the first round, four times as many in each later one; and rounds after the
+#: first: all but the last try pivots, the last tries every pair that is left.
+PIVOTS = 4
+PIVOT_TURNS = 3
 #: Tokens gathered in a worker before they are counted.
 COUNT_BATCH = 3_000_000
 
@@ -256,13 +257,21 @@ def _pairs(x: str, y: str):
 
 
 def _pivot_pairs(rows: DataFrame, turn: int, similar: int) -> DataFrame:
-    """Each member of a bucket with one pivot of its own size class; keys share PIVOTS orders by which pivots are chosen,
-    so a document that stands in many buckets meets several pivots, but not one per bucket."""
-    order = F.xxhash64("doc_id", F.pmod("key", F.lit(PIVOTS)), F.lit(turn))
-    best = F.min_by(F.struct("doc_id", "n", "room"), order).alias("p")
-    pivots = rows.groupBy("key", "size_class").agg(best).select("key", "size_class", F.col("p.doc_id").alias("p_doc_id"), F.col("p.n").alias("p_n"), F.col("p.room").alias("p_room"))
-    met = rows.join(pivots, ["key", "size_class"]).where(F.col("doc_id") != F.col("p_doc_id")).where(_possible("", "p_", similar))
-    return met.select(*_pairs("", "p_")).distinct()
+    """Each member of a bucket with two pivots of its own size class that are not in its component ``c``.
+
+    Keys share PIVOTS * 4 ** turn orders by which pivots are chosen, so a document that stands in many buckets meets
+    that many pivots, but not one per bucket.
+    """
+    order = F.xxhash64("doc_id", F.pmod("key", F.lit(PIVOTS * 4**turn)), F.lit(turn))
+    row = F.struct("doc_id", "n", "room", "c")
+    ends = rows.groupBy("key", "size_class").agg(F.min_by(row, order).alias("lo"), F.max_by(row, order).alias("hi"))
+    met = rows.join(ends.where("lo.doc_id != hi.doc_id"), ["key", "size_class"])
+    out = None
+    for e in ("lo", "hi"):
+        one = met.select("doc_id", "n", "room", "c", *[F.col(f"{e}.{x}").alias(f"p_{x}") for x in ("doc_id", "n", "room", "c")])
+        one = one.where((F.col("c") != F.col("p_c")) & _possible("", "p_", similar)).select(*_pairs("", "p_"))
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
 
 
 def _split_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -273,7 +282,7 @@ def _split_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(split, "key", "left_semi")
 
 
-def _cross_pairs(rows: DataFrame, turn: int, similar: int) -> DataFrame:
+def _cross_pairs(rows: DataFrame, similar: int) -> DataFrame:
     """All pairs of a bucket across components that size and room allow."""
     x = rows.select("key", "size_class", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "room", "c")])
     near = F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class")
@@ -304,7 +313,7 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR
         wide = wide.unionByName(rows.select("key", "doc_id", "n", F.col("pos").alias("room")))
     counts = wide.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     wide = settle(wide.join(counts.select("key"), "key").withColumn("size_class", size_class(F.col("n"), similar)), "wide")
-    tried = settle(near.unionByName(_pivot_pairs(wide, 0, similar)).distinct(), "tried")
+    tried = settle(near.unionByName(_pivot_pairs(wide.withColumn("c", F.col("doc_id")), 0, similar)).distinct(), "tried")
     links = settle(verify(tried, docs, k, similar), "links")
     labels = settle(components(links), "labels")
     for turn in range(1, PIVOT_TURNS + 1):
@@ -312,13 +321,13 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR
         if split.isEmpty():
             break
         last = turn == PIVOT_TURNS
-        pairs = (_cross_pairs if last else _pivot_pairs)(split, turn, similar)
+        pairs = _cross_pairs(split, similar) if last else _pivot_pairs(split, turn, similar)
         pairs = settle(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "more")
         tried = tried.unionByName(pairs)
         found = settle(verify(pairs, docs, k, similar), "links")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = settle(components(links), "labels")
+            known = labels.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+            labels = settle(components(known.unionByName(found)), "labels")
     named = classes.select("h1", "h2", "n", "class_id").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     named = settle(named.withColumn("component_id", F.coalesce("component_id", "class_id")), "named")
     out = slim.join(named, ["h1", "h2", "n"], "left")
