@@ -8,11 +8,12 @@ n - ceil(t * n) + 1 tokens, and at least two in prefixes longer by one.  So in t
 * frequent tokens are keys in pairs, or, in sets of LONG tokens or more, where pairs would be too many, singly;
   sets within the size ratio t of LONG use both forms, so that no pair falls between them.
 
-Documents that meet under a key are candidates; every candidate is verified on the two whole texts.  Small buckets
-give all their pairs.  Large buckets first give pairs with a few pivots; those that prove to be links make components,
+Documents that meet under a key are candidates; every candidate is verified on the two whole texts.  Small buckets of
+rare tokens give all their pairs, which are counted: the shared rare tokens and what the sets have left after their
+prefixes must reach the overlap that is needed.  Large buckets first give pairs with a few pivots; those that prove to be links make components,
 and then only pairs across components are left to try, so a bucket of many near copies never becomes all its pairs, and
 no component is missed.  Pairs whose sizes, or whose positions of the shared tokens, leave no room for the overlap that
-is needed are never made.  Documents with equal sets are one vertex from the start.
+is needed are never made.  A pair that shares a token of a large bucket is left to that bucket, which then prunes by size only.  Documents with equal sets are one vertex from the start.
 
 The frequent tokens are found by counts over all documents, kept per batch of tokens when at least two; being an
 order only, they decide the cost and never the result.
@@ -110,8 +111,9 @@ def _needed(n: np.ndarray, similar: int) -> np.ndarray:
 
 
 def index_rows(docs: DataFrame, frequent: np.ndarray, wide: bool, k: int = SHINGLE, similar: int = SIMILAR, long: int = LONG) -> DataFrame:
-    """(key, doc_id, n, pos): the rare tokens of each extended prefix; or with ``wide`` the keys of frequent ones, where
-    ``pos`` is the room: the overlap that is possible if the key's tokens are the first that two sets share."""
+    """(key, doc_id, n, x).  The rare tokens of each extended prefix, x being how many of them the document has; or with
+    ``wide`` the keys of frequent ones, x being the room: the overlap that is possible if the key's tokens are the first
+    that two sets share."""
     tokens = frequent.view(np.uint64)
     order = np.argsort(tokens)
     shared = docs.sparkSession.sparkContext.broadcast((tokens[order], order.astype(np.uint64)))
@@ -136,7 +138,8 @@ def index_rows(docs: DataFrame, frequent: np.ndarray, wide: bool, k: int = SHING
             v, f = values[o], often[o]
             if not wide:
                 take = inside & ~f
-                out = v[take], doc[take], pos[take]
+                rare = np.bincount(doc[take], minlength=len(n))
+                out = v[take], doc[take], rare[doc[take]]
             else:
                 take = inside & f
                 v, d, p = v[take], doc[take], pos[take]
@@ -157,58 +160,69 @@ def index_rows(docs: DataFrame, frequent: np.ndarray, wide: bool, k: int = SHING
                 s = slice(i, i + 200_000)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[s].view(np.int64)), pa.array(ids[d[s]]), pa.array(n[d[s]].astype(np.int32)), pa.array(p[s].astype(np.int32))],
-                    ["key", "doc_id", "n", "pos"],
+                    ["key", "doc_id", "n", "x"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "key long, doc_id long, n int, pos int")
-
-
-def _fits(na, pa_, nb, pb, similar):
-    """Size and position filter: the overlap that is still possible after the shared token reaches what is needed."""
-    least, most = np.minimum(na, nb), np.maximum(na, nb)
-    need = -(-similar * (na + nb) // (100 + similar))
-    return (least * 100 >= similar * most) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= need)
+    return docs.select("doc_id", "text").mapInArrow(work, "key long, doc_id long, n int, x int")
 
 
 def bucket_pairs(rows: DataFrame, similar: int = SIMILAR, small: int = SMALL) -> DataFrame:
-    """Meet rare keys: (a, b, key, n, room).  Small buckets give pairs; the rows of large ones come back with b null."""
+    """Meet rare keys: (a, b, na, nb, rest, c, key).
+
+    Small buckets give pairs of fitting sizes, c times for c shared keys; ``rest`` is the most that two sets can share
+    beyond the rare tokens of both prefixes: past the prefix that ends first, only the rest of that set is left.  The
+    rows of large buckets come back with b null.
+    """
     parts = shuffle_parts(rows.sparkSession)
+    names = ["a", "b", "na", "nb", "rest", "c", "key"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def work(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
-        key, doc, n, pos = (t.column(c).to_numpy() for c in ("key", "doc_id", "n", "pos"))
+        key, doc, n, rare = (t.column(c).to_numpy() for c in ("key", "doc_id", "n", "x"))
         o = np.argsort(key, kind="stable")
         key = key[o]
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([at, [len(key)]]))
         many = np.repeat(size > 1, size)
         size, key, o = np.repeat(size, size)[many], key[many], o[many]
-        doc, n, pos = doc[o], n[o].astype(np.int64), pos[o].astype(np.int64)
+        doc, n, rare = doc[o], n[o].astype(np.int64), rare[o].astype(np.int64)
         big = size > small
-        out_a, out_b = [], []
-        key_s, doc_s, n_s, pos_s = key[~big], doc[~big], n[~big], pos[~big]
+        key_s, doc_s, n_s, left = key[~big], doc[~big], n[~big], (n - rare)[~big]
+        found = []
         for step in range(1, small):
-            same = np.flatnonzero(key_s[step:] == key_s[:-step]) if len(key_s) > step else np.zeros(0, int)
-            if not len(same):
+            i = np.flatnonzero(key_s[step:] == key_s[:-step]) if len(key_s) > step else np.zeros(0, int)
+            if not len(i):
                 break
-            i, j = same, same + step
-            ok = _fits(n_s[i], pos_s[i], n_s[j], pos_s[j], similar) & (doc_s[i] != doc_s[j])
-            out_a.append(np.minimum(doc_s[i], doc_s[j])[ok])
-            out_b.append(np.maximum(doc_s[i], doc_s[j])[ok])
-        if out_a:
-            pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
-            zeros = np.zeros(len(pairs), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(zeros), pa.array(zeros.astype(np.int32)), pa.array(zeros.astype(np.int32))], ["a", "b", "key", "n", "room"])
+            j = i + step
+            ok = (np.minimum(n_s[i], n_s[j]) * 100 >= similar * np.maximum(n_s[i], n_s[j])) & (doc_s[i] != doc_s[j])
+            i, j = i[ok], j[ok]
+            i, j = np.where(doc_s[i] < doc_s[j], i, j), np.where(doc_s[i] < doc_s[j], j, i)
+            found.append(np.stack([doc_s[i], doc_s[j], n_s[i], n_s[j], np.maximum(left[i], left[j])], axis=1))
+        if found:
+            pairs = np.concatenate(found)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            new = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)])) if len(pairs) else np.zeros(0, int)
+            c = np.diff(np.concatenate([new, [len(pairs)]]))
+            columns = [*pairs[new].T, c, np.zeros(len(new), np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(columns, types)], names)
         if big.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(key[big]), *[pa.array(x[big].astype(np.int32)) for x in (n, n - pos)]],
-                ["a", "b", "key", "n", "room"],
-            )
+            none = pa.nulls(int(big.sum()), pa.int64())
+            columns = [pa.array(doc[big]), none, pa.array(n[big]), none, none, none, pa.array(key[big])]
+            yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(columns, types)], names)
+
+    schema = "a long, b long, na int, nb int, rest int, c long, key long"
+    return rows.repartition(parts, "key").mapInArrow(work, schema)
+
 
-    return rows.repartition(parts, "key").mapInArrow(work, "a long, b long, key long, n int, room int")
+def _counted_pairs(met: DataFrame, similar: int) -> DataFrame:
+    """The pairs whose shared rare tokens and what is left after them reach the overlap that is needed."""
+    c = met.where("b is not null").groupBy("a", "b").agg(F.sum("c").alias("c"), *[F.max(x).alias(x) for x in ("na", "nb", "rest")])
+    need = F.ceil(similar * (F.col("na").cast("long") + F.col("nb")) / F.lit(100.0 + similar) - 1e-9)
+    return c.where(F.col("c") + F.col("rest") >= need).select("a", "b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
@@ -306,11 +320,12 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR
     singles = ids_filter(docs, copies, "doc_id", "left_anti")
     common = frequent_tokens(singles, k, frequent)
     met = settle(bucket_pairs(index_rows(singles, common, False, k, similar, long), similar, small), "met")
-    near = met.where("b is not null").select("a", "b")
-    wide = met.where("b is null").select("key", F.col("a").alias("doc_id"), "n", "room")
+    near = _counted_pairs(met, similar)
+    # in a large bucket of a rare token nothing is known of the tokens shared before it: all of the set is its room
+    wide = met.where("b is null").select("key", F.col("a").alias("doc_id"), F.col("na").alias("n"), F.col("na").alias("room"))
     if len(common):
         rows = index_rows(singles, common, True, k, similar, long)
-        wide = wide.unionByName(rows.select("key", "doc_id", "n", F.col("pos").alias("room")))
+        wide = wide.unionByName(rows.select("key", "doc_id", "n", F.col("x").alias("room")))
     counts = wide.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     wide = settle(wide.join(counts.select("key"), "key").withColumn("size_class", size_class(F.col("n"), similar)), "wide")
     tried = settle(near.unionByName(_pivot_pairs(wide.withColumn("c", F.col("doc_id")), 0, similar)).distinct(), "tried")
