@@ -124,3 +124,26 @@ def review_errors(reviews: DataFrame, fields: list[str], tasks: list[str]) -> Da
         F.when(again, "duplicate"),
     )
     return reviews.withColumn("errors", F.filter(named, lambda x: x.isNotNull())).where("size(errors) > 0")
+
+
+def diagnose(submissions: DataFrame, placeholder: str, least_chars: int, answers: int) -> DataFrame:
+    """Findings on each text: placeholders left in, too short without white space, fewer numbered answers than asked."""
+    bare = F.length(F.regexp_replace("text", r"\s+", ""))
+    found = F.size(F.regexp_extract_all("text", F.lit(r"(?m)^\s*[0-9]+[.)]\s*\S"), F.lit(0)))
+    named = F.array(
+        F.when(F.col("text").rlike(placeholder), "placeholder"), F.when(bare < least_chars, "short"), F.when(found < answers, "answers")
+    )
+    return submissions.select("id", F.filter(named, lambda x: x.isNotNull()).alias("findings"))
+
+
+def unreleased_references(queries: DataFrame, released: DataFrame) -> DataFrame:
+    """(qid, chapter) of chapters a query names, in digits or in Chinese numerals, that are not released."""
+    from ..functions.text import chinese_number
+
+    @F.pandas_udf("array<int>")
+    def numbers(column):
+        return column.map(lambda xs: [n for n in (chinese_number(x) for x in xs) if n is not None])
+
+    raw = queries.select("qid", F.regexp_extract_all("query", F.lit("第\\s*([0-9]+|[一二两三四五六七八九十]+)\\s*章"), F.lit(1)).alias("raw"))
+    named = raw.select("qid", F.explode(numbers("raw")).alias("chapter")).distinct()
+    return named.join(released, "chapter", "left_anti").select("qid", "chapter")

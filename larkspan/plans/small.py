@@ -330,3 +330,76 @@ def sc9(spark, d):
 
     t = spark.createDataFrame([("---\nid: as-of\nchapter: 7\n---\n# T\n## Basis\nbody text\n## Next\nmore",)], "text string")
     return t.select(front_matter(F.col("text"), "id").alias("id"), front_matter(F.col("text"), "chapter").alias("chapter"), markdown_section(F.col("text"), "Basis").alias("body"))
+
+
+@query("pf15_submission_diagnosis", """SELECT doc_id AS id, CASE WHEN regexp_matches(text, 'license|License') THEN 'placeholder,' ELSE '' END || CASE WHEN length(regexp_replace(text, '\\s+', '', 'g')) < 600 THEN 'short,' ELSE '' END || 'answers,' AS findings FROM documents WHERE NOT regexp_matches(text, '(^|\\n)\\s*[0-9]+[.)]')""")
+def pf15(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").where(~F.col("text").rlike(r"(^|\n)\s*[0-9]+[.)]"))
+    return C.diagnose(docs, "license|License", 600, 1).select("id", F.concat(F.array_join("findings", ","), F.lit(",")).alias("findings"))
+
+
+@query("pf16_unreleased", """SELECT * FROM (VALUES (1, 23), (3, 99)) t(qid, chapter)""")
+def pf16(spark, d):
+    q = spark.createDataFrame([(1, "第二十三章讲了什么"), (2, "第 3 章和第十章"), (3, "第九十九章"), (4, "协同过滤")], "qid int, query string")
+    released = spark.range(1, 23).select(F.col("id").cast("int").alias("chapter"))
+    return C.unreleased_references(q, released)
+
+
+@query("w9_top_per_group", """SELECT l_suppkey, l_orderkey, l_linenumber, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3""")
+def w9(spark, d):
+    from ..operators.temporal import top_k
+
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    out = top_k(li, ["l_suppkey"], 3, F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"))
+    return out.select("l_suppkey", "l_orderkey", "l_linenumber", F.col("rank").cast("long").alias("rank"))
+
+
+@query("sc1_json_lines", """SELECT CAST(doc_id AS VARCHAR) AS id, source, CAST(doc_id % 50 + 1 AS INT) AS page_start, length(text)::BIGINT AS chars FROM documents""")
+def sc1(spark, d):
+    from ..session import scratch_path
+    from ..sources.files import read_chunks
+
+    path = scratch_path(spark, "chunks")
+    docs = table(spark, d, "documents")
+    docs.select(F.col("doc_id").cast("string").alias("id"), "source", "text", (F.col("doc_id") % 50 + 1).cast("int").alias("page_start")).write.json(path)
+    return read_chunks(spark, path).select("id", "source", "page_start", F.length("text").cast("long").alias("chars"))
+
+
+@query("sc2_manifest", """SELECT 1 AS format, count(*) AS chunks, 20::BIGINT AS sources FROM documents""")
+def sc2(spark, d):
+    from ..session import scratch_path
+    from ..sources.files import write_index
+    from .tables import chunks
+
+    c = chunks(spark, d)
+    src = c.groupBy(F.col("source").alias("path")).agg(F.sha2(F.min("text").cast("binary"), 256).alias("sha256"), F.count("*").alias("size"))
+    return write_index(c, scratch_path(spark, "index"), src).select("format", "chunks", F.size("sources").cast("long").alias("sources"))
+
+
+@query("sc5_replay", """SELECT event_id, row_number() OVER (ORDER BY event_id) + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 0 END AS seq FROM events WHERE event_type = 'purchase'""")
+def sc5(spark, d):
+    from ..session import scratch_path
+    from ..sources.files import append_events, replay
+
+    path = scratch_path(spark, "log")
+    e = table(spark, d, "events").where("event_type = 'purchase'").select("event_id", F.col("event_id").alias("ord"))
+    append_events(e, path)
+    return replay(spark, path, "event_id long, seq long")[0].select("event_id", "seq")
+
+
+@query("sc12_partition_overwrite", """SELECT l_returnflag, CASE WHEN l_returnflag = 'R' THEN count(*) FILTER (l_linestatus = 'F') ELSE count(*) END AS n FROM lineitem GROUP BY 1""")
+def sc12(spark, d):
+    from ..session import scratch_path
+    from ..sources.files import overwrite_partitions
+
+    path = scratch_path(spark, "parts")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linestatus", "l_returnflag")
+    overwrite_partitions(li, path, "l_returnflag")
+    overwrite_partitions(li.where("l_returnflag = 'R' and l_linestatus = 'F'"), path, "l_returnflag")
+    return spark.read.parquet(path).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query("ag3_similarity_sum", """WITH h AS (SELECT o_custkey AS c, l_suppkey AS s, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT c, sum(n)::BIGINT AS total FROM h GROUP BY 1""")
+def ag3(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    return o.join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k").groupBy("c").agg(F.count("*").alias("total"))
