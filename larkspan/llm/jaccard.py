@@ -279,7 +279,8 @@ def _pivot_pairs(rows: DataFrame, turn: int, similar: int) -> DataFrame:
     order = F.xxhash64("doc_id", F.pmod("key", F.lit(PIVOTS * 4**turn)), F.lit(turn))
     row = F.struct("doc_id", "n", "room", "c")
     ends = rows.groupBy("key", "size_class").agg(F.min_by(row, order).alias("lo"), F.max_by(row, order).alias("hi"))
-    met = rows.join(ends.where("lo.doc_id != hi.doc_id"), ["key", "size_class"])
+    # settled, so that the join has an exchange on both sides and Spark can split a large bucket
+    met = rows.join(settle(ends.where("lo.doc_id != hi.doc_id"), "pivots"), ["key", "size_class"])
     out = None
     for e in ("lo", "hi"):
         one = met.select("doc_id", "n", "room", "c", *[F.col(f"{e}.{x}").alias(f"p_{x}") for x in ("doc_id", "n", "room", "c")])
@@ -326,8 +327,9 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR
     if len(common):
         rows = index_rows(singles, common, True, k, similar, long)
         wide = wide.unionByName(rows.select("key", "doc_id", "n", F.col("x").alias("room")))
-    counts = wide.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    wide = settle(wide.join(counts.select("key"), "key").withColumn("size_class", size_class(F.col("n"), similar)), "wide")
+    wide = settle(wide, "rows")
+    counts = settle(wide.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "keys")
+    wide = settle(wide.join(counts, "key").withColumn("size_class", size_class(F.col("n"), similar)), "wide")
     tried = settle(near.unionByName(_pivot_pairs(wide.withColumn("c", F.col("doc_id")), 0, similar)).distinct(), "tried")
     links = settle(verify(tried, docs, k, similar), "links")
     labels = settle(components(links), "labels")
