@@ -233,7 +233,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> Dat
     """(doc_id, s, e): bytes covered by windows that start at two places or more."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     anchors = settle(anchor_rows(docs, window, False), "anchors")
-    grams = anchors.groupBy("fp").agg(F.count("*").alias("total")).where("total > 1")
+    # settled, so that the join below has an exchange on both sides and Spark can split a gram with very many anchors
+    grams = settle(anchors.groupBy("fp").agg(F.count("*").alias("total")).where("total > 1"), "grams")
     met = settle(anchors.join(grams, "fp"), "met")
     first = F.min(F.struct("doc_id", "q", "p1", "p2")).alias("f")
     classes = met.groupBy("fp", "ch").agg(F.count("*").alias("n"), F.max("total").alias("total"), first)
