@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: A broadcast of ids stays under this many rows (16 bytes each); beyond it the same join is shuffled.
 BROADCAST_IDS = 400_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -34,8 +36,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small: each is held in the JVM, on its way, and in the worker at the same time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there and lost executors cost nothing."""
+    bound_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

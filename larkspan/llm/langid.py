@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
+from .common import bound_batches
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -193,6 +194,7 @@ def fit(rows, idf: np.ndarray, alpha, beta, l1, l2, epochs, scale) -> Model:
 
 def train(labelled: DataFrame, rows: int = FIT_ROWS, **options) -> Model | None:
     """A model from (doc_id, text, lang); all rows count for the document frequencies, a bounded sample for the fit."""
+    bound_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null")
     picked = _sample(labelled, rows)
     if not picked:
@@ -204,6 +206,7 @@ def train(labelled: DataFrame, rows: int = FIT_ROWS, **options) -> Model | None:
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score; the text is the only input."""
+    bound_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})

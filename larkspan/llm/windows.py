@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import ids_filter
+from .common import bound_batches, ids_filter
 
 ANCHORS = "fp long, ch long, doc_id long, q int, p1 int, p2 int"
 
@@ -146,6 +146,7 @@ def cut_report(docs: DataFrame, spans: DataFrame, words: bool, keep_text: bool =
 
     ``spans`` has (doc_id, s, e), half open, in units.  Kept bytes are concatenated, kept words joined by one space.
     """
+    bound_batches(docs.sparkSession)
     listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(listed, "doc_id", "left")
     names = ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256"] + ["text"] * keep_text
