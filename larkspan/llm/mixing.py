@@ -9,9 +9,12 @@ so that the words taken equal its rounded target, and every block is taken at mo
 Targets: sources by code point, null last, get the weights in turn; they share ``volume`` times all words; no target
 exceeds ``repeats`` times its source, and the excess is shared out again by weight.
 
+Every input row is a document: it gets a settled key of its own, so rows that share an id, and rows whose id is null,
+are sized, mixed and kept one by one.
+
 Cases: a null or blank text has size 0 and gives and takes nothing; a null source is a source; a source without words
-has target 0; repeated rows are documents of their own when their ids differ, and one document when they do not; an
-empty table gives an empty table; reruns agree.
+has target 0; a null id is an id like any other; repeated rows are documents of their own, interchangeable when all
+their columns agree; an empty table gives an empty table; reruns agree.
 """
 
 from __future__ import annotations
@@ -116,29 +119,37 @@ def draw(slots: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number of the row that is fixed only once it is settled, and ``_hash`` of all columns,
+    which orders rows the same way in every run.  A null is told from a missing value by a flag."""
+    flagged = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    return docs.withColumns({"_row": F.monotonically_increasing_id(), "_hash": F.xxhash64(*flagged)})
+
+
 def streams(sizes: DataFrame) -> DataFrame:
-    """(doc_id, source, size, start): where each document's words stand in its source's stream.
+    """(_row, source, size, start): where each document's words stand in its source's stream.
 
     Documents are dealt to parts by a hash; positions are a sum within the part plus the words of the parts before,
     so a source with most of the documents is no single task's work.
     """
     parts = max(1, -(-sizes.count() // STREAM_PART))
-    tagged = sizes.withColumn("_p", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)))
-    own = W.partitionBy("source", "_p").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    tagged = sizes.withColumn("_p", F.pmod(F.xxhash64("_hash", F.lit(3)), F.lit(parts)))
+    own = W.partitionBy("source", "_p").orderBy(F.xxhash64("_hash", F.lit(11)), "doc_id", "_row").rowsBetween(W.unboundedPreceding, -1)
     placed = tagged.withColumn("_own", F.coalesce(F.sum("size").over(own), F.lit(0)))
     before = W.partitionBy("source").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     base = tagged.groupBy("source", "_p").agg(F.sum("size").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0)))
     base = base.select(F.col("source").alias("_source"), F.col("_p").alias("_q"), "_before")
     joined = placed.join(base, (placed["_p"] == base["_q"]) & placed["source"].eqNullSafe(base["_source"]))
-    return joined.select("doc_id", "source", "size", (F.col("_own") + F.col("_before")).alias("start"))
+    return joined.select("_row", "source", "size", (F.col("_own") + F.col("_before")).alias("start"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, volume: float = VOLUME, repeats: float = REPEATS, block: int = BLOCK, shards: int = OUTPUT_SHARDS, seed: int = 1):
-    """(sizes, pieces): sizes has doc_id, size, source_size, target; pieces has one row per document and slot part:
-    doc_id, turn, first (word of the document), words, shard, slot."""
+    """(sizes, pieces): sizes has _row, doc_id, source, size, source_size, target; pieces has one row per document and
+    slot part: _row, turn, first (word of the document), words, shard, slot.  ``docs`` that already have the columns of
+    ``keyed`` must be settled."""
     spark = docs.sparkSession
-    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    slim = settle(slim.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("size").alias("size")), "sizes")
+    rows_ = docs if "_row" in docs.columns else keyed(docs)
+    slim = settle(rows_.select("_row", "_hash", "doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     total = {r["source"]: r["size"] for r in slim.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     goal = targets(total, weights, volume, repeats)
     names = list(goal)
@@ -174,22 +185,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, volume: float = VOLUME, repeats: float
     slots = slots.mapInArrow(to_blocks, "shard int, source_no int, slot long, block long, turn long, take long")
     at_ = streams(slim.where("size > 0")).join(facts_df, F.col("source").eqNullSafe(F.col("source_name")))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    parts = at_.select("doc_id", "source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
+    parts = at_.select("_row", "source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     low = F.greatest(F.col("start"), F.col("block") * block)
     parts = parts.select(
-        "doc_id", "source_no", "block", (low - F.col("start")).alias("first"), (low - F.col("block") * block).alias("inside"),
+        "_row", "source_no", "block", (low - F.col("start")).alias("first"), (low - F.col("block") * block).alias("inside"),
         (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - low).alias("have"),
     )
     pieces = parts.join(slots, ["source_no", "block"]).where(F.col("take") > F.col("inside"))
-    pieces = pieces.select("doc_id", "turn", "first", F.least("have", F.col("take") - F.col("inside")).alias("words"), "shard", "slot")
-    return sizes.select("doc_id", "size", "source_size", "target"), pieces
+    pieces = pieces.select("_row", "turn", "first", F.least("have", F.col("take") - F.col("inside")).alias("words"), "shard", "slot")
+    return sizes.select("_row", "doc_id", "source", "size", "source_size", "target"), pieces
 
 
-def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+def _rows(docs: DataFrame, **options) -> DataFrame:
     sizes, pieces = mix(docs, **options)
-    taken = pieces.groupBy("doc_id").agg(F.sum("words").alias("taken"))
-    return sizes.join(taken, "doc_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    taken = pieces.groupBy("_row").agg(F.sum("words").alias("taken"))
+    return sizes.join(taken, "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("_row")
+
+
+def mix_rows(docs: DataFrame, **options) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken."""
+    return _rows(docs, **options).drop("source")
+
+
+def mix_report(docs: DataFrame, **options) -> DataFrame:
+    """``mix_rows`` summed over the rows that share an id, null included, and a source."""
+    by_id = _rows(docs, **options).groupBy("doc_id", "source", "source_size", "target")
+    out = by_id.agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -197,14 +219,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document taken whole keeps its text as it is; of one taken in part the words stand joined by one space.
     Documents whose source gets less than one pass may be missing, those of sources with more appear twice.
-    ``n_chars``, where there is one, is counted anew.
+    ``n_chars``, where there is one, is counted anew.  The documents are settled once with their keys, so that the rows
+    that are sized are the rows that are cut.
     """
-    _, pieces = mix(docs, **options)
-    taken = pieces.groupBy("doc_id", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_taken"))
+    held = settle(keyed(docs), "keyed")
+    _, pieces = mix(held, **options)
+    taken = pieces.groupBy("_row", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_taken"))
     taken = settle(taken.drop("turn"), "taken")
     small = taken.count() <= BROADCAST_IDS
     columns = docs.columns
-    joined = docs.join(F.broadcast(taken) if small else taken, "doc_id")
+    joined = held.join(F.broadcast(taken) if small else taken, "_row").select(*columns, "_taken")
 
     def cut(batches):
         for batch in batches:
