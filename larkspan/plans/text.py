@@ -133,7 +133,7 @@ def pf4(spark, d):
       SELECT doc_id, ps, i + 1, CASE WHEN size > 0 AND size + length(ps[i]) > 400 THEN length(ps[i]) ELSE size + length(ps[i]) END, blocks + CASE WHEN size = 0 OR size + length(ps[i]) > 400 THEN 1 ELSE 0 END FROM r WHERE i <= len(ps))
     SELECT doc_id, max(blocks)::BIGINT AS blocks FROM r GROUP BY doc_id""")
 def sc6(spark, d):
-    docs = table(spark, d, "documents").where("doc_id < 200")
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", F.size(T.pack_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")), 400)).cast("long").alias("blocks"))
 
 
@@ -149,7 +149,7 @@ def sc7(spark, d):
     m AS (SELECT doc_id, n, regexp_matches(line, '^The') AS s FROM l), e AS (SELECT doc_id, max(n) AS last FROM m GROUP BY 1)
     SELECT m.doc_id, n AS "first", coalesce(lead(n) OVER (PARTITION BY m.doc_id ORDER BY n) - 1, last) AS "last" FROM m JOIN e USING (doc_id) WHERE s""")
 def sc8(spark, d):
-    lines = table(spark, d, "documents").where("doc_id < 300").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("p", "line"))
     out = S.sections(lines.select("file", (F.col("p") + 1).cast("long").alias("line_no"), "line"), "^(The)")
     return out.select(F.col("file").alias("doc_id"), "first", "last")
 
