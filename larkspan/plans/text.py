@@ -16,7 +16,7 @@ _TOK = "regexp_extract_all(lower({}), '[a-z0-9][a-z0-9_+.#/-]*')"
 
 
 def _queries(spark, d):
-    q = table(spark, d, "benchmark").where("item_id < 12")
+    q = table(spark, d, "benchmark")
     return q.select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
 
 

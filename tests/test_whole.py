@@ -31,3 +31,15 @@ def against(spark, name, d, cut, tables):
 @pytest.mark.parametrize("name, cut", [("sc6_pack_paragraphs", " WHERE doc_id < 200"), ("sc8_sections", " WHERE doc_id < 300")])
 def test_whole_documents(spark, wide, name, cut):
     against(spark, name, wide, cut, ["documents"])
+
+
+@pytest.mark.parametrize("name", ["q2_bm25", "pf1_chapter_filter", "tk1_top_k", "tk3_evidence_pages", "ag18_retrieval_metrics"])
+def test_all_benchmark_rows(spark, small, name):
+    against(spark, name, small, " WHERE item_id < 12", ["documents", "benchmark"])
+
+
+def test_all_benchmark_rows_without_sql(spark, small):
+    n = spark.read.parquet(f"{small}/benchmark.parquet").count()
+    out = catalog.QUERIES["fn_hashed_cosine"](spark, small)
+    assert n > 12 and out.select("qid").distinct().count() == n
+    assert catalog.QUERIES["q9_rank"](spark, small).where("qid >= 12").count() > 0
