@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,19 +18,24 @@ BROADCAST_IDS = 400_000
 BATCH_ROWS = 2000
 
 
+_local: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: ``spark.checkpoint.dir``, set here only in local mode."""
+    """The folder shared by driver and executors: spark.checkpoint.dir; only a local session may go without, and then
+    has a temporary folder that goes when the program ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rstrip("/").rsplit("/", 1)[0]
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="larkspan-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="larkspan-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return f"file://{_local[0]}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:

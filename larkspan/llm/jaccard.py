@@ -1,27 +1,33 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-A document is its set of distinct k-word shingles.  Tokens have one global order, rare ones first (by hash), frequent
-ones last (by frequency); two sets with Jaccard similarity t or more share a token in their prefixes of
-n - ceil(t * n) + 1 tokens, and at least two in prefixes longer by one.  So in the extended prefix
+A document is its set of distinct k-word shingles, its tokens.  Tokens have one global order, rare ones first (by hash),
+frequent ones last; two sets with Jaccard similarity t or more share a token in their prefixes of n - ceil(t * n) + 1
+tokens, and at least two in prefixes longer by one.  So in the extended prefix
 
 * each rare token is a key of its own;
-* frequent tokens are keys in pairs, or, in sets of LONG tokens or more, where pairs would be too many, singly;
-  sets within the size ratio t of LONG use both forms, so that no pair falls between them.
+* frequent tokens are keys in pairs.  Tokens that occur together make a class, named by the document with the least
+  hash among those that index the token, and the keys are the pairs of classes: two sets that share two frequent tokens
+  share the pair of their classes, and a document that indexes hundreds of tokens has a handful of classes.
 
-Documents that meet under a key are candidates; every candidate is verified on the two whole texts.  Small buckets of
-rare tokens give all their pairs, which are counted: the shared rare tokens and what the sets have left after their
-prefixes must reach the overlap that is needed.  Large buckets first give pairs with a few pivots; those that prove to be links make components,
-and then only pairs across components are left to try, so a bucket of many near copies never becomes all its pairs, and
-no component is missed.  Pairs whose sizes, or whose positions of the shared tokens, leave no room for the overlap that
-is needed are never made.  A pair that shares a token of a large bucket is left to that bucket, which then prunes by size only.  Documents with equal sets are one vertex from the start.
+Documents that meet under a key are candidates, and every link is decided on the shingles of the two whole texts.
+Buckets of rare tokens with up to SMALL members give all their pairs, which are counted: the shared rare tokens and what
+the sets have left after their prefixes must reach the overlap that is needed.  A rare token with more members than that
+is one that the counts missed; its class alone is then the key, and it is treated like the frequent ones.
+
+In the large buckets every member is compared with two pivots, and links make components.  Only what stands outside
+a bucket's largest component is then compared with the bucket, block by block and never within a component; a block
+reports no more links than it needs to join components.  So a group of near copies never becomes all its pairs, nothing
+unbounded is gathered in a task, and no component is missed.  Documents with equal sets are one vertex from the start.
 
 The frequent tokens are found by counts over all documents, kept per batch of tokens when at least two; being an
 order only, they decide the cost and never the result.
 
-Cases: null and empty texts have no shingles and stay alone; a text with fewer than k words is one shingle; equal
-texts share a component; the id is the vertex, so rows that repeat an id join their texts' components under it; a row
-with a null id takes the component of equal texts, else null, and links nothing; an empty table gives an empty table;
-other columns are not read.
+Cases: null and empty texts have no shingles and stay alone; a text with fewer than k words is one shingle; texts of any
+length are read whole; the id is the vertex, so rows that repeat an id, with whatever texts, are one vertex with all
+their links; a row with a null id is a vertex of its own together with rows of an equal set, its component is the
+smallest id that it reaches, or null; ids from 2**62 on are kept for such rows and not supported; ties do not arise, a
+component being named by its smallest id; an empty table gives an empty table; other columns are not read, so their
+names may clash.
 """
 
 from __future__ import annotations
@@ -41,68 +47,93 @@ SIMILAR = 80
 #: A token counted this often is frequent; at most FREQUENT_MAX tokens are (16 bytes each, broadcast).
 FREQUENT = 48
 FREQUENT_MAX = 400_000
-#: Sets of this size or more index frequent tokens singly.
-LONG = 400
-#: Buckets up to this size give all their pairs at once.
+#: Buckets of a rare token up to this size give all their pairs at once.
 SMALL = 48
-#: Orders by which pivots are drawn in the first round, four times as many in each later one; and rounds after the
-#: first: all but the last try pivots, the last tries every pair that is left.
-PIVOTS = 4
-PIVOT_TURNS = 3
-#: Tokens gathered in a worker before they are counted.
+#: Tokens of the documents in one block of a large bucket.
+BLOCK_TOKENS = 1 << 18
+#: Tokens, and rows of the index, gathered in a worker before they are worked on.
 COUNT_BATCH = 3_000_000
+GATHER = 200_000
+#: Vertices of rows without an id lie from here on.
+NO_ID = 1 << 62
 
 
 def _sets(data, off, k):
     """Distinct lower-case shingles of each document of a chunk: (values sorted by document and hash, starts)."""
+    data = K.LOWER[data]
     start, end, first = K.words(data, off)
-    codes = K.word_hashes(K.LOWER[data], start, end)
-    return K.distinct(*K.shingles(codes, first, k))
+    return K.distinct(*K.shingles(K.word_hashes(data, start, end), first, k))
 
 
-def set_digests(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, h1, h2): size and 128-bit digest of each document's set."""
+def _digests(values, at):
+    """128 bits of each set, order-free: two sums of scrambled tokens."""
+    out = []
+    for salt in (0x1234567, 0xABCDEF987):
+        c = np.zeros(len(values) + 1, dtype=K.U)
+        np.cumsum(K.mix(values ^ K.U(salt)), out=c[1:])
+        out.append((c[at[1:]] - c[at[:-1]]).view(np.int64))
+    return out
 
-    def work(batches):
-        for batch, rows, data, off in K.text_batches(batches):
-            values, at = _sets(data, off, k)
-            sums = []
-            for salt in (0x1234567, 0xABCDEF987):
-                c = np.zeros(len(values) + 1, dtype=K.U)
-                np.cumsum(K.mix(values ^ K.U(salt)), out=c[1:])
-                sums.append((c[at[1:]] - c[at[:-1]]).view(np.int64))
-            ids = batch.column("doc_id").slice(rows[0], len(rows))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1])], ["doc_id", "n", "h1", "h2"])
 
-    return docs.mapInArrow(work, "doc_id long, n long, h1 long, h2 long")
+def _vertex():
+    return F.coalesce("doc_id", F.lit(NO_ID) + F.col("h1").bitwiseAND(F.lit((1 << 61) - 1)))
 
 
-def frequent_tokens(docs: DataFrame, k: int = SHINGLE, least: int = FREQUENT, most: int = FREQUENT_MAX) -> np.ndarray:
-    """The most frequent shingles, least frequent first; at most ``most`` of them."""
+def scan(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """One pass over the texts.  (doc_id, n, h1, h2): size and digest of each row's set; and (token, c), with n null:
+    how often a token was seen in a batch, twice at least."""
+    names = ["doc_id", "n", "h1", "h2", "token", "c"]
 
     def work(batches):
-        held, n = [], 0
+        held, size = [], 0
 
         def flush():
             v = np.sort(np.concatenate(held))
-            at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
             c = np.diff(np.concatenate([at, [len(v)]]))
             twice = c > 1
-            return pa.RecordBatch.from_arrays([pa.array(v[at][twice].view(np.int64)), pa.array(c[twice])], ["token", "c"])
+            none = pa.nulls(int(twice.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(v[at][twice].view(np.int64)), pa.array(c[twice])], names)
 
-        for _, _, data, off in K.text_batches(batches):
-            values, _ = _sets(data, off, k)
+        for batch, rows, data, off in K.text_batches(batches):
+            values, at = _sets(data, off, k)
+            h1, h2 = _digests(values, at)
+            none = pa.nulls(len(rows), pa.int64())
+            ids = batch.column("doc_id").slice(rows[0], len(rows))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(h1), pa.array(h2), none, none], names)
             held.append(values)
-            n += len(values)
-            if n >= COUNT_BATCH:
+            size += len(values)
+            if size >= COUNT_BATCH:
                 yield flush()
-                held, n = [], 0
-        if n:
+                held, size = [], 0
+        if held:
             yield flush()
 
-    counts = docs.select("text").mapInArrow(work, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(work, "doc_id long, n long, h1 long, h2 long, token long, c long")
+
+
+def frequent_tokens(scanned: DataFrame, least: int = FREQUENT, most: int = FREQUENT_MAX) -> np.ndarray:
+    """The most frequent shingles, sorted; at most ``most`` of them."""
+    counts = scanned.where("token is not null").groupBy("token").agg(F.sum("c").alias("c"))
     top = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "token").limit(most)
-    return top.toPandas()["token"].to_numpy(dtype=np.int64)[::-1].astype(np.int64)
+    return np.sort(top.toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def _with_vertices(docs: DataFrame, k: int) -> DataFrame:
+    """``docs`` with the vertex as doc_id; rows without an id come once for each set."""
+    known = docs.where("doc_id is not null")
+    rest = docs.where("doc_id is null")
+    if rest.isEmpty():
+        return known
+
+    def work(batches):
+        for batch, rows, data, off in K.text_batches(batches):
+            h1, _ = _digests(*_sets(data, off, k))
+            vertex = NO_ID + (h1 & ((1 << 61) - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(vertex), batch.column("text").slice(rows[0], len(rows))], ["doc_id", "text"])
+
+    named = rest.mapInArrow(work, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return known.unionByName(settle(named, "unnamed"))
 
 
 def _needed(n: np.ndarray, similar: int) -> np.ndarray:
@@ -110,254 +141,365 @@ def _needed(n: np.ndarray, similar: int) -> np.ndarray:
     return -(-similar * n // 100)
 
 
-def index_rows(docs: DataFrame, frequent: np.ndarray, wide: bool, k: int = SHINGLE, similar: int = SIMILAR, long: int = LONG) -> DataFrame:
-    """(key, doc_id, n, x).  The rare tokens of each extended prefix, x being how many of them the document has; or with
-    ``wide`` the keys of frequent ones, x being the room: the overlap that is possible if the key's tokens are the first
-    that two sets share."""
-    tokens = frequent.view(np.uint64)
-    order = np.argsort(tokens)
-    shared = docs.sparkSession.sparkContext.broadcast((tokens[order], order.astype(np.uint64)))
+def index_rows(docs: DataFrame, frequent: np.ndarray, k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """(key, doc_id, n, rare, often): the tokens of each extended prefix; ``rare`` is how many of them are rare."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    names = ["key", "doc_id", "n", "rare", "often"]
 
     def work(batches):
-        known, rank = shared.value
+        known = shared.value
         for batch, rows, data, off in K.text_batches(batches):
             values, at = _sets(data, off, k)
             n = np.diff(at)
             doc = np.repeat(np.arange(len(n)), n)
             often = np.zeros(len(values), dtype=bool)
-            weight = values >> K.U(1)
             if len(known):
-                found = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                often = known[found] == values
-                weight = np.where(often, K.U(1 << 63) + rank[found], weight)
-            o = np.lexsort((weight, doc))
+                often = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+            # values are in the order of their hashes already: the frequent ones move to each document's end
+            o = np.argsort((doc << 1) + often, kind="stable")
             pos = np.arange(len(values)) - at[doc]
             reach = n - _needed(n, similar) + 2  # one more than the plain prefix
-            inside = pos < reach[doc]
+            take = o[pos < reach[doc]]
+            d, f = doc[take], often[take]
+            rare = np.bincount(d[~f], minlength=len(n))
             ids = batch.column("doc_id").slice(rows[0], len(rows)).to_numpy(zero_copy_only=False)
-            v, f = values[o], often[o]
-            if not wide:
-                take = inside & ~f
-                rare = np.bincount(doc[take], minlength=len(n))
-                out = v[take], doc[take], rare[doc[take]]
-            else:
-                take = inside & f
-                v, d, p = v[take], doc[take], pos[take]
-                single = n[d] * 100 >= similar * long
-                room = n[d] - p
-                parts = [(v[single], d[single], room[single])]
-                pairs = n[d] * similar < 100 * long
-                v, d, room = v[pairs], d[pairs], room[pairs]
-                base = K.mix(v ^ K.U(0x5151))
-                for step in range(1, int(np.bincount(d).max()) if len(d) else 0):
-                    same = d[step:] == d[:-step]
-                    if not same.any():
-                        break
-                    parts.append((K.mix(base[:-step][same] * K.U(3) + base[step:][same]), d[step:][same], room[step:][same] + 1))
-                out = tuple(np.concatenate(x) for x in zip(*parts))
-            key, d, p = out
-            for i in range(0, len(key), 200_000):
-                s = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[s].view(np.int64)), pa.array(ids[d[s]]), pa.array(n[d[s]].astype(np.int32)), pa.array(p[s].astype(np.int32))],
-                    ["key", "doc_id", "n", "x"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(work, "key long, doc_id long, n int, x int")
-
-
-def bucket_pairs(rows: DataFrame, similar: int = SIMILAR, small: int = SMALL) -> DataFrame:
-    """Meet rare keys: (a, b, na, nb, rest, c, key).
-
-    Small buckets give pairs of fitting sizes, c times for c shared keys; ``rest`` is the most that two sets can share
-    beyond the rare tokens of both prefixes: past the prefix that ends first, only the rest of that set is left.  The
-    rows of large buckets come back with b null.
+            for i in range(0, len(take), GATHER):
+                s = slice(i, i + GATHER)
+                columns = [values[take[s]].view(np.int64), ids[d[s]], n[d[s]].astype(np.int32), rare[d[s]].astype(np.int32), f[s]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+
+    return docs.select("doc_id", "text").mapInArrow(work, "key long, doc_id long, n int, rare int, often boolean")
+
+
+def meet(rows: DataFrame, similar: int = SIMILAR, small: int = SMALL) -> DataFrame:
+    """(a, b, na, nb, rest, c, key, often).
+
+    Small buckets of rare tokens give pairs of fitting sizes, c times for c shared keys; ``rest`` is the most that two
+    sets can share beyond the rare tokens of both prefixes: past the prefix that ends first, only the rest of that set
+    is left.  The rows of frequent tokens, and of large buckets, come back with b null.  A worker holds GATHER rows.
     """
     parts = shuffle_parts(rows.sparkSession)
-    names = ["a", "b", "na", "nb", "rest", "c", "key"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["a", "b", "na", "nb", "rest", "c", "key", "often"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
 
-    def work(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        key, doc, n, rare = (t.column(c).to_numpy() for c in ("key", "doc_id", "n", "x"))
-        o = np.argsort(key, kind="stable")
-        key = key[o]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([at, [len(key)]]))
-        many = np.repeat(size > 1, size)
-        size, key, o = np.repeat(size, size)[many], key[many], o[many]
-        doc, n, rare = doc[o], n[o].astype(np.int64), rare[o].astype(np.int64)
-        big = size > small
-        key_s, doc_s, n_s, left = key[~big], doc[~big], n[~big], (n - rare)[~big]
+    def batch_of(columns):
+        return pa.RecordBatch.from_arrays([(x if isinstance(x, pa.Array) else pa.array(x)).cast(t) for x, t in zip(columns, types)], names)
+
+    def pairs(key, doc, n, left):
         found = []
         for step in range(1, small):
-            i = np.flatnonzero(key_s[step:] == key_s[:-step]) if len(key_s) > step else np.zeros(0, int)
+            i = np.flatnonzero(key[step:] == key[:-step]) if len(key) > step else np.zeros(0, int)
             if not len(i):
                 break
             j = i + step
-            ok = (np.minimum(n_s[i], n_s[j]) * 100 >= similar * np.maximum(n_s[i], n_s[j])) & (doc_s[i] != doc_s[j])
+            ok = (np.minimum(n[i], n[j]) * 100 >= similar * np.maximum(n[i], n[j])) & (doc[i] != doc[j])
             i, j = i[ok], j[ok]
-            i, j = np.where(doc_s[i] < doc_s[j], i, j), np.where(doc_s[i] < doc_s[j], j, i)
-            found.append(np.stack([doc_s[i], doc_s[j], n_s[i], n_s[j], np.maximum(left[i], left[j])], axis=1))
-        if found:
-            pairs = np.concatenate(found)
-            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-            new = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)])) if len(pairs) else np.zeros(0, int)
-            c = np.diff(np.concatenate([new, [len(pairs)]]))
-            columns = [*pairs[new].T, c, np.zeros(len(new), np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(columns, types)], names)
-        if big.any():
-            none = pa.nulls(int(big.sum()), pa.int64())
-            columns = [pa.array(doc[big]), none, pa.array(n[big]), none, none, none, pa.array(key[big])]
-            yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(columns, types)], names)
-
-    schema = "a long, b long, na int, nb int, rest int, c long, key long"
-    return rows.repartition(parts, "key").mapInArrow(work, schema)
-
-
-def _counted_pairs(met: DataFrame, similar: int) -> DataFrame:
-    """The pairs whose shared rare tokens and what is left after them reach the overlap that is needed."""
-    c = met.where("b is not null").groupBy("a", "b").agg(F.sum("c").alias("c"), *[F.max(x).alias(x) for x in ("na", "nb", "rest")])
+            i, j = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
+            found.append(np.stack([doc[i], doc[j], n[i], n[j], np.maximum(left[i], left[j])], axis=1))
+        if not found:
+            return
+        p = np.concatenate(found)
+        if not len(p):
+            return
+        p = p[np.lexsort(p[:, :4].T[::-1])]
+        new = np.flatnonzero(np.concatenate([[True], (p[1:, :4] != p[:-1, :4]).any(axis=1)]))
+        c = np.diff(np.concatenate([new, [len(p)]]))
+        zero = np.zeros(len(new), np.int64)
+        yield batch_of([*p[new, :4].T, np.maximum.reduceat(p[:, 4], new), c, zero, zero.astype(bool)])
+
+    def work(batches):
+        columns = ("key", "doc_id", "n", "rare", "often")
+        held: list = []
+        flowing = None  # the key of a large bucket whose rows go on
+
+        def solve(last):
+            nonlocal held, flowing
+            t = pa.Table.from_batches(held)
+            key, doc, n, rare, often = (t.column(c).to_numpy() for c in columns)
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.concatenate([at, [len(key)]]))
+            large = size > small
+            large[0] |= key[0] == flowing
+            held = []
+            if not last:
+                if large[-1]:
+                    flowing = key[-1]
+                else:
+                    held = t.slice(int(at[-1])).combine_chunks().to_batches()
+                    cut, size[-1] = int(at[-1]), 0
+                    key, doc, n, rare, often = key[:cut], doc[:cut], n[:cut], rare[:cut], often[:cut]
+            big = np.repeat(large, size) | often
+            lone = np.repeat(size < 2, size) & ~big
+            n, rare = n.astype(np.int64), rare.astype(np.int64)
+            x = ~big & ~lone
+            yield from pairs(key[x], doc[x], n[x], (n - rare)[x])
+            if big.any():
+                none = pa.nulls(int(big.sum()), pa.int64())
+                yield batch_of([doc[big], none, n[big], none, none, none, key[big], often[big]])
+
+        count = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                count += b.num_rows
+            if count >= GATHER:
+                yield from solve(False)
+                count = sum(x.num_rows for x in held)
+        if held:
+            yield from solve(True)
+
+    schema = "a long, b long, na int, nb int, rest int, c long, key long, often boolean"
+    # rows of frequent tokens only pass through, so they are dealt by document too
+    spread = F.when(F.col("often"), F.col("doc_id")).otherwise(F.lit(0))
+    return rows.repartition(parts, "key", spread).sortWithinPartitions("key").mapInArrow(work, schema)
+
+
+def _fits(a, b, similar: int):
+    return F.least(a, b).cast("long") * 100 >= similar * F.greatest(a, b).cast("long")
+
+
+def counted_pairs(met: DataFrame, similar: int) -> DataFrame:
+    """(a, b, first): the pairs whose shared rare tokens and what is left after them reach the overlap that is needed;
+    ``first`` marks each document's pair with most shared tokens."""
+    # an id may have several texts: what was met of all of them, against the smallest
+    c = met.where("b is not null").groupBy("a", "b").agg(*[f(x).alias(x) for f, x in ((F.sum, "c"), (F.max, "rest"), (F.min, "na"), (F.min, "nb"))])
     need = F.ceil(similar * (F.col("na").cast("long") + F.col("nb")) / F.lit(100.0 + similar) - 1e-9)
-    return c.where(F.col("c") + F.col("rest") >= need).select("a", "b")
+    kept = settle(c.where(F.col("c") + F.col("rest") >= need).select("a", "b", "c"), "near")
+    ends = kept.select(F.col("a").alias("x"), "a", "b", "c").unionByName(kept.select(F.col("b").alias("x"), "a", "b", "c"))
+    best = ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("c", F.xxhash64("a", "b"))).alias("p")).select("p.*").distinct()
+    return settle(kept.join(best.withColumn("first", F.lit(True)), ["a", "b"], "left").select("a", "b", F.coalesce("first", F.lit(False)).alias("first")), "near")
+
+
+def class_keys(met: DataFrame) -> DataFrame:
+    """(key, doc_id, n): pairs of classes of frequent tokens, and single classes of rare tokens with large buckets."""
+    rows = met.where("b is null").select("key", F.col("a").alias("doc_id"), F.col("na").alias("n"), "often")
+    named = rows.groupBy("key").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(5))).alias("class"), F.count("*").alias("m"))
+    named = settle(named.where("m > 1").drop("m"), "classes")
+    own = settle(rows.join(named, "key").groupBy("doc_id", "n", "often", "class").agg(F.count("*").alias("t")), "own")
+    lists = own.where("often").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("class", "t"))).alias("cs"))
+    one = lists.select("doc_id", "n", "cs", F.posexplode("cs").alias("p", "x"))
+    two = one.select("doc_id", "n", "x", F.explode(F.slice("cs", F.col("p") + 1, F.size("cs"))).alias("y"))
+    # the pair of a class with itself takes two tokens of it
+    two = two.where((F.col("x.class") != F.col("y.class")) | (F.col("x.t") > 1))
+    pairs = two.select(F.xxhash64("x.class", "y.class").alias("key"), "doc_id", "n")
+    alone = own.where("not often").select(F.xxhash64("class").alias("key"), "doc_id", "n")
+    keys = settle(pairs.unionByName(alone).distinct(), "keys")
+    # buckets with the same members are one
+    same = keys.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id", "n")).alias("x1"), F.bit_xor(F.xxhash64("n", "doc_id", F.lit(1))).alias("x2"))
+    chosen = settle(same.where("m > 1").groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "chosen")
+    return settle(keys.join(chosen, "key"), "keys")
+
+
+def pivot_pairs(keys: DataFrame, similar: int) -> DataFrame:
+    """(a, b): every member a of a bucket with its two pivots b, of the sizes that fit."""
+    row = F.struct("doc_id", "n")
+    ends = keys.groupBy("key").agg(*[F.min_by(row, F.xxhash64("doc_id", F.lit(s))).alias(f"p{s}") for s in (5, 6)])
+    met = keys.join(ends, "key")
+    out = None
+    for s in (5, 6):
+        one = met.where((F.col(f"p{s}.doc_id") != F.col("doc_id")) & _fits(F.col("n"), F.col(f"p{s}.n"), similar))
+        one = one.select(F.col("doc_id").alias("a"), F.col(f"p{s}.doc_id").alias("b"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, decided on the whole texts."""
-    pairs = settle(pairs.select("a", "b").distinct(), "pairs")
+    """The pairs (a, b) whose sets are similar, decided on the shingles of the whole texts; of an id with several texts
+    one is enough.  The texts of b travel to those of a, so b should be what many pairs share."""
+    lo, hi = F.least("a", "b"), F.greatest("a", "b")
+    pairs = settle(pairs.groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.max("b").alias("b")).select((F.col("lo") + F.col("hi") - F.col("b")).alias("a"), "b"), "pairs")
     ids = settle(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     texts = ids_filter(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ids, "doc_id", "left_semi")
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    lower = bytes(K.LOWER)
+
+    def shingles(text):
+        w = text.as_buffer().to_pybytes().translate(lower).split()
+        return set(zip(*(w[i:] for i in range(k)))) if len(w) >= k else {tuple(w)} if w else set()
 
     def work(batches):
+        last, held = None, set()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            keep = np.zeros(batch.num_rows, dtype=bool)
             ta, tb = batch.column("ta"), batch.column("tb")
-            keep = np.zeros(len(a), dtype=bool)
-            last, held = None, None
-            for i in range(len(a)):
-                if last != a[i]:
-                    held, last = _sets(*K.buffers(ta.slice(i, 1)), k)[0], a[i]
-                other = _sets(*K.buffers(tb.slice(i, 1)), k)[0]
-                inter = len(np.intersect1d(held, other, assume_unique=True))
-                keep[i] = inter > 0 and 100 * inter >= similar * (len(held) + len(other) - inter)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-    both = pairs.join(right, "b").join(left, "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
-
-
-def size_class(n, similar: int):
-    """Sizes of similar sets are in the same class or in neighbouring ones."""
-    return F.floor(F.ln(n) / F.lit(float(np.log(100.0 / similar)) * 1.0001)).cast("int")
-
+            for i in range(batch.num_rows):
+                mine = ta[i]
+                if last is None or not last.equals(mine):
+                    held, last = shingles(mine), mine
+                other = shingles(tb[i])
+                same = len(held & other)
+                keep[i] = same > 0 and 100 * same >= similar * (len(held) + len(other) - same)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
-def _possible(x: str, y: str, similar: int):
-    """Sizes fit, and after the shared tokens both sets have room for the overlap that is needed."""
-    a, b = F.col(f"{x}n").cast("long"), F.col(f"{y}n").cast("long")
-    need = F.ceil(similar * (a + b) / F.lit(100.0 + similar) - 1e-9)
-    return (F.least(a, b) * 100 >= similar * F.greatest(a, b)) & (F.least(F.col(f"{x}room"), F.col(f"{y}room")) >= need)
+    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
+    return both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long").distinct()
 
 
-def _pairs(x: str, y: str):
-    return F.least(f"{x}doc_id", f"{y}doc_id").alias("a"), F.greatest(f"{x}doc_id", f"{y}doc_id").alias("b")
+def token_sets(docs: DataFrame, ids: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(doc_id, n, tokens) of the documents ``ids``: the upper half of each token's hash, which never hides an overlap."""
 
-
-def _pivot_pairs(rows: DataFrame, turn: int, similar: int) -> DataFrame:
-    """Each member of a bucket with two pivots of its own size class that are not in its component ``c``.
-
-    Keys share PIVOTS * 4 ** turn orders by which pivots are chosen, so a document that stands in many buckets meets
-    that many pivots, but not one per bucket.
+    def work(batches):
+        for batch, rows, data, off in K.text_batches(batches):
+            values, at = _sets(data, off, k)
+            half = (values >> K.U(32)).astype(np.uint32)
+            out = [half[at[i] : at[i + 1]].tobytes() for i in range(len(rows))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(rows[0], len(rows)), pa.array(np.diff(at).astype(np.int32)), pa.array(out, pa.binary())], ["doc_id", "n", "tokens"])
+
+    return ids_filter(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInArrow(work, "doc_id long, n int, tokens binary").distinct()
+
+
+def _joining_links(ids, n, comp, outside, inside, flat, start, similar, all_links):
+    """Pairs (outside, inside) of similar sets that join different components."""
+    _, flat = np.unique(flat, return_inverse=True)
+    count = np.bincount(flat)
+    end = np.append(start[1:], len(flat))
+    common = np.array([int((count[flat[s:e]] > 1).sum()) for s, e in zip(start, end)])
+    _, label = np.unique(comp, return_inverse=True)
+    order = inside[np.argsort(n[inside], kind="stable")]
+    size = n[order]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    tokens = np.concatenate([flat[start[i] : end[i]] for i in order]) if len(order) else flat[:0]
+    seen = np.zeros(len(count), dtype=bool)
+    out = []
+    for x in outside[np.argsort(n[outside], kind="stable")]:
+        lo = int(np.searchsorted(size, -(-similar * n[x] // 100), "left"))
+        hi = int(np.searchsorted(size, 100 * n[x] // similar, "right"))
+        if lo >= hi:
+            continue
+        near = order[lo:hi]
+        need = -(-similar * (n[x] + size[lo:hi]) // (100 + similar))
+        able = (label[near] != label[x]) & (ids[near] != ids[x]) & (np.minimum(common[near], common[x]) >= need)
+        if not able.any():
+            continue
+        seen[flat[start[x] : end[x]]] = True
+        same = np.add.reduceat(seen[tokens[begin[lo] : begin[hi]]], begin[lo:hi] - begin[lo], dtype=np.int64)
+        seen[flat[start[x] : end[x]]] = False
+        for y in near[able & (same >= need)]:
+            if all_links:
+                out.append((ids[x], ids[y]))
+            elif label[y] != label[x]:
+                out.append((ids[x], ids[y]))
+                label[label == label[y]] = label[x]
+    return out
+
+
+def cross_links(keys: DataFrame, labels: DataFrame, docs: DataFrame, k: int, similar: int, block: int = BLOCK_TOKENS, all_links: bool = False) -> DataFrame:
+    """(a, b): within the buckets that hold several components, links that join them, by the halves of the tokens.
+
+    What is outside a bucket's largest component meets the whole bucket, in blocks of about ``block`` tokens.
     """
-    order = F.xxhash64("doc_id", F.pmod("key", F.lit(PIVOTS * 4**turn)), F.lit(turn))
-    row = F.struct("doc_id", "n", "room", "c")
-    ends = rows.groupBy("key", "size_class").agg(F.min_by(row, order).alias("lo"), F.max_by(row, order).alias("hi"))
-    # settled, so that the join has an exchange on both sides and Spark can split a large bucket
-    met = rows.join(settle(ends.where("lo.doc_id != hi.doc_id"), "pivots"), ["key", "size_class"])
-    out = None
-    for e in ("lo", "hi"):
-        one = met.select("doc_id", "n", "room", "c", *[F.col(f"{e}.{x}").alias(f"p_{x}") for x in ("doc_id", "n", "room", "c")])
-        one = one.where((F.col("c") != F.col("p_c")) & _possible("", "p_", similar)).select(*_pairs("", "p_"))
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
-
-
-def _split_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets whose members are not all in one component, with the component as ``c``."""
-    named = rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    named = named.withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id")
-    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    return named.join(split, "key", "left_semi")
-
-
-def _cross_pairs(rows: DataFrame, similar: int) -> DataFrame:
-    """All pairs of a bucket across components that size and room allow."""
-    x = rows.select("key", "size_class", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "room", "c")])
-    near = F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class")
-    y = rows.select("key", near, *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "room", "c")])
-    met = x.join(y, ["key", "size_class"]).where((F.col("x_c") < F.col("y_c")) & _possible("x_", "y_", similar))
-    return met.select(*_pairs("x_", "y_"))
-
-
-def similar_components(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR, frequent: int = FREQUENT, small: int = SMALL, long: int = LONG) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest id of equal sets), component_id."""
+    named = keys.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    named = settle(named.select("key", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c")), "named")
+    parts = named.groupBy("key", "c").agg(F.sum("n").alias("tokens"))
+    most = F.max(F.struct("tokens", "c"))
+    split = parts.groupBy("key").agg(F.count("*").alias("k"), F.sum("tokens").alias("all"), most.alias("most")).where("k > 1")
+    blocks = lambda x: F.greatest(F.lit(1), F.ceil(x / block)).cast("int")
+    split = settle(split.select("key", F.col("most.c").alias("main"), blocks(F.col("all")).alias("nb"), blocks(F.col("all") - F.col("most.tokens")).alias("sb")), "split")
+    if split.isEmpty():
+        return named.select(F.col("doc_id").alias("a"), F.col("c").alias("b")).limit(0)
+    rows = settle(named.join(split, "key").withColumn("outside", F.col("c") != F.col("main")), "rows")
+    sets = settle(token_sets(docs, rows.select("doc_id").distinct(), k), "sets")
+    at = lambda salt, of: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(of)).cast("int")
+    alone = (F.col("nb") == 1) & (F.col("sb") == 1)
+    whole = rows.select("key", "doc_id", "c", F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("i"), at(1, "nb").alias("j"), F.when(alone & F.col("outside"), 2).otherwise(0).alias("role"))
+    apart = rows.where(~alone & F.col("outside")).select("key", "doc_id", "c", at(2, "sb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(1).alias("role"))
+    tasks = whole.unionByName(apart).join(sets, "doc_id").select("key", "i", "j", "doc_id", "n", "c", "role", "tokens")
+
+    def work(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        ids, n, comp, role = (t.column(x).to_numpy() for x in ("doc_id", "n", "c", "role"))
+        data, off = K.buffers(t.column("tokens").chunk(0))
+        out = _joining_links(ids, n.astype(np.int64), comp, np.flatnonzero(role > 0), np.flatnonzero(role != 1), data.view(np.uint32), off[:-1] // 4, similar, all_links)
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tasks.groupBy("key", "i", "j").applyInArrow(work, "a long, b long").distinct()
+
+
+def _classes(docs: DataFrame, k: int, similar: int, frequent: int, small: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): rows has doc_id, n, h1, h2 and the vertex; classes has h1, h2, n, class_id and component_id, both vertices."""
     docs = docs.select("doc_id", "text")
-    slim = settle(set_digests(docs, k), "sets")
-    classes = settle(slim.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("c")), "classes")
+    scanned = settle(scan(docs, k), "scan")
+    slim = scanned.where("n is not null").select("doc_id", "n", "h1", "h2", _vertex().alias("vertex"))
+    classes = settle(slim.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("vertex").alias("class_id"), F.count("*").alias("c")), "classes")
     # copies that stand for no class leave; documents without shingles have no index rows anyway
-    members = slim.where("n > 0").join(classes.where("c > 1"), ["h1", "h2", "n"]).where(F.col("doc_id") != F.col("class_id"))
-    copies = settle(
-        members.select("doc_id").distinct().join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_anti"),
-        "copies",
-    )
-    docs = docs.where("doc_id is not null")
-    singles = ids_filter(docs, copies, "doc_id", "left_anti")
-    common = frequent_tokens(singles, k, frequent)
-    met = settle(bucket_pairs(index_rows(singles, common, False, k, similar, long), similar, small), "met")
-    near = _counted_pairs(met, similar)
-    # in a large bucket of a rare token nothing is known of the tokens shared before it: all of the set is its room
-    wide = met.where("b is null").select("key", F.col("a").alias("doc_id"), F.col("na").alias("n"), F.col("na").alias("room"))
-    if len(common):
-        rows = index_rows(singles, common, True, k, similar, long)
-        wide = wide.unionByName(rows.select("key", "doc_id", "n", F.col("x").alias("room")))
-    wide = settle(wide, "rows")
-    counts = settle(wide.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "keys")
-    wide = settle(wide.join(counts, "key").withColumn("size_class", size_class(F.col("n"), similar)), "wide")
-    tried = settle(near.unionByName(_pivot_pairs(wide.withColumn("c", F.col("doc_id")), 0, similar)).distinct(), "tried")
-    links = settle(verify(tried, docs, k, similar), "links")
+    members = slim.join(classes.where("c > 1"), ["h1", "h2", "n"]).where(F.col("vertex") != F.col("class_id"))
+    copies = members.select(F.col("vertex").alias("doc_id")).distinct().join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    docs = _with_vertices(docs, k)
+    singles = ids_filter(docs, settle(copies, "copies"), "doc_id", "left_anti")
+    common = frequent_tokens(scanned, frequent)
+    met = settle(meet(index_rows(singles, common, k, similar), similar, small), "met")
+    near = counted_pairs(met, similar)
+    keys = class_keys(met)
+    links = settle(verify(near.where("first").select("a", "b").unionByName(pivot_pairs(keys, similar)), docs, k, similar), "links")
+    # classes that share an id are one vertex already; rows of one id with equal sets need no link
     labels = settle(components(links), "labels")
-    for turn in range(1, PIVOT_TURNS + 1):
-        split = settle(_split_buckets(wide, labels), "split")
-        if split.isEmpty():
-            break
-        last = turn == PIVOT_TURNS
-        pairs = _cross_pairs(split, similar) if last else _pivot_pairs(split, turn, similar)
-        pairs = settle(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "more")
-        tried = tried.unionByName(pairs)
-        found = settle(verify(pairs, docs, k, similar), "links")
-        if not found.isEmpty():
-            known = labels.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-            labels = settle(components(known.unionByName(found)), "labels")
-    named = classes.select("h1", "h2", "n", "class_id").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
-    named = settle(named.withColumn("component_id", F.coalesce("component_id", "class_id")), "named")
-    out = slim.join(named, ["h1", "h2", "n"], "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-    )
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that are similar to one with a smaller id through any chain of links."""
-    found = similar_components(docs, **options)
-    gone = settle(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    return ids_filter(docs, gone, "doc_id", "left_anti")
+    side = lambda x: labels.select(F.col("id").alias(x), F.col("component_id").alias(f"{x}c"))
+    rest = near.where("not first").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = rest.where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
+    across = settle(cross_links(keys, labels, docs, k, similar, block), "across")
+    more = settle(verify(rest.unionByName(across), docs, k, similar), "more")
+    pair = F.struct(F.least("a", "b"), F.greatest("a", "b")).alias("p")
+    if not across.select(pair).join(more.select(pair), "p", "left_anti").isEmpty():
+        # halves of tokens made a link that the texts refute, and it may have hidden another: all are tried
+        every = settle(cross_links(keys, labels, docs, k, similar, block, all_links=True), "across")
+        more = more.unionByName(settle(verify(every, docs, k, similar), "more"))
+    if not more.isEmpty():
+        known = labels.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+        labels = settle(components(known.unionByName(more)), "labels")
+    named = classes.drop("c").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
+    return slim, settle(named.withColumn("component_id", F.coalesce("component_id", "class_id")), "named")
+
+
+def similar_components(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR, frequent: int = FREQUENT, small: int = SMALL, block: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (smallest id of equal sets), component_id."""
+    slim, classes = _classes(docs, k, similar, frequent, small, block)
+    # an id that stands with several sets is one vertex: all its rows have the component of them all
+    by_id = slim.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("s")).where("s > 1 and doc_id is not null").select("doc_id")
+    out = slim.join(classes, ["h1", "h2", "n"], "left")
+    out = out.withColumns({"class_id": F.coalesce("class_id", "vertex"), "component_id": F.coalesce("component_id", "vertex")})
+    several = settle(out.join(by_id, "doc_id", "left_semi").select("doc_id", "component_id").distinct(), "several")
+    if not several.isEmpty():
+        joined = several.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        final = settle(components(joined), "labels").select(F.col("id").alias("component_id"), F.col("component_id").alias("_root"))
+        out = out.join(final, "component_id", "left").withColumn("component_id", F.coalesce("_root", "component_id")).drop("_root")
+    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), real("class_id"), real("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR, frequent: int = FREQUENT, small: int = SMALL, block: int = BLOCK_TOKENS) -> DataFrame:
+    """``docs`` without the rows that are similar, through any chain of links, to one with a smaller id.
+
+    Rows that repeat the smallest id of their component stay; of rows without an id that reach no id, one of each
+    component stays; rows without shingles stay.
+    """
+    slim, classes = _classes(docs, k, similar, frequent, small, block)
+    out = slim.where("n > 0").join(classes, ["h1", "h2", "n"])
+    gone = settle(out.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
+    known = docs.where("doc_id is not null")
+    kept = ids_filter(known, gone, "doc_id", "left_anti")
+    rest = docs.where("doc_id is null")
+    if rest.isEmpty():
+        return kept
+    first = settle(out.where("doc_id is null and vertex = component_id").select("vertex").distinct(), "first")
+    columns = rest.columns
+
+    def work(batches):
+        for batch, rows, data, off in K.text_batches(batches):
+            values, at = _sets(data, off, k)
+            h1, _ = _digests(values, at)
+            part = batch.slice(rows[0], len(rows))
+            empty = pa.array(np.diff(at) == 0)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(NO_ID + (h1 & ((1 << 61) - 1))), empty], [*part.schema.names, "_vertex", "_blank"])
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*rest.schema.fields, T.StructField("_vertex", T.LongType()), T.StructField("_blank", T.BooleanType())])
+    rest = settle(rest.mapInArrow(work, schema), "unnamed")
+    one = rest.where("not _blank").join(first.withColumnRenamed("vertex", "_vertex"), "_vertex", "left_semi")
+    order = F.struct("text", F.xxhash64(*columns))
+    one = one.groupBy("_vertex").agg(F.min_by(F.struct(*columns), order).alias("_one")).select("_one.*")
+    return kept.unionByName(one).unionByName(rest.where("_blank").select(*columns))

@@ -1,8 +1,9 @@
-"""Array kernels over Arrow string buffers: words, rolling hashes and content-defined anchors.
+"""Array kernels over Arrow string buffers: words, hashes and content-defined anchors.
 
 A chunk is a run of documents held as one byte array with offsets, so that every step is one numpy pass over many
-documents.  Hashes are 64-bit and only ever choose candidates or name strings whose equality is then decided by a
-cryptographic digest or by the bytes themselves, unless a function says otherwise.
+documents.  Hashes of words are multilinear (a random coefficient for each place in the word), rolling hashes are
+polynomials modulo the prime 2**61 - 1; neither has strings of a regular build that collide, as polynomials modulo
+2**64 do.  They choose candidates; equality is then decided by a cryptographic digest or by the text itself.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 #: Bytes of text worked on at once; a longer single document is its own chunk.
 CHUNK = 1 << 19
 U = np.uint64
+PRIME = (1 << 61) - 1
+P = U(PRIME)
 
 
 def _word(seed: int) -> int:
@@ -22,23 +25,43 @@ def _word(seed: int) -> int:
 
 
 BYTE_CODE = np.array([_word(i) for i in range(256)], dtype=U)
-BASE = U(_word(1000) | 1)
-BASE_INV = U(pow(int(BASE), -1, 1 << 64))
+BASE = _word(1000) % (PRIME - 2) + 2
+BASE_INV = pow(BASE, -1, PRIME)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
+_places: list[np.ndarray] = []
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    held = _powers.get(int(base))
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, for values below it."""
+    low = U((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> U(31), a & low, b >> U(31), b & low
+    mid = a1 * b0 + a0 * b1
+    out = ((a1 * b1) << U(1)) + (mid >> U(30)) + ((mid & U((1 << 30) - 1)) << U(31)) + a0 * b0
+    return _fold(out)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values modulo 2**61 - 1."""
+    x = (x & P) + (x >> U(61))
+    return np.where(x >= P, x - P, x)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**61 - 1."""
+    held = _powers.get(base)
     if held is None or len(held) < n:
         size = max(n, CHUNK + 4096)
-        steps = np.full(size, base, dtype=U)
-        steps[0] = 1
-        held = _powers[int(base)] = np.multiply.accumulate(steps)
+        held = np.ones(size, dtype=U)
+        have = 1
+        while have < size:
+            more = min(have, size - have)
+            held[have : have + more] = times(held[:more], np.full(more, pow(base, have, PRIME), dtype=U))
+            have += more
+        _powers[base] = held
     return held[:n]
 
 
@@ -52,6 +75,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def place_codes(n: int) -> np.ndarray:
+    """A pseudorandom odd coefficient for each of the places 0 .. n-1."""
+    if not _places or len(_places[0]) < n:
+        _places[:] = [mix(np.arange(max(n, 4096), dtype=U) * U(0x9E3779B97F4A7C15) + U(_word(3000))) | U(1)]
+    return _places[0][:n]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array; nulls are empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()
@@ -90,31 +120,46 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(start, off, "left")
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] = sum of code(b_k) * BASE**k over i <= k < j."""
-    out = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(BYTE_CODE[data] * powers(BASE, len(data)), out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each byte span, the same wherever it stands."""
-    inv = powers(BASE_INV, len(prefix))
-    return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(U))
-
-
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(data), start, end)
-
-
-def gram_hash(codes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every k consecutive codes (long windows by prefix sums); len - k + 1 values."""
-    n = len(codes) - k + 1
-    if n <= 0:
+    """64-bit hash of each word; ``data`` has the words' bytes in order and nothing but separators besides."""
+    if not len(start):
         return np.zeros(0, dtype=U)
-    sums = np.zeros(len(codes) + 1, dtype=U)
-    np.cumsum(codes * powers(BASE, len(codes)), out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * powers(BASE_INV, n))
+    size = end - start
+    first = np.cumsum(size) - size
+    solid = data[~IS_SPACE[data]]
+    place = np.arange(len(solid)) - np.repeat(first, size)
+    sums = np.add.reduceat(BYTE_CODE[solid] * place_codes(int(size.max()))[place], first)
+    return mix(sums + size.astype(U) * U(0x9E3779B97F4A7C15))
+
+
+class Rolling:
+    """Hashes of any run of ``codes``, the same wherever the run stands."""
+
+    def __init__(self, codes: np.ndarray):
+        terms = times(powers(BASE, len(codes)), _fold(codes))
+        self._sums(terms & U(0xFFFFFFFF), terms >> U(32))
+
+    @classmethod
+    def of_bytes(cls, data: np.ndarray) -> Rolling:
+        out = cls.__new__(cls)
+        terms, code = powers(BASE, len(data)), data.astype(U) + U(1)
+        out._sums(code * (terms & U(0xFFFFFFFF)), code * (terms >> U(32)))
+        return out
+
+    def _sums(self, low: np.ndarray, high: np.ndarray) -> None:
+        self.low, self.high = np.zeros(len(low) + 1, dtype=U), np.zeros(len(low) + 1, dtype=U)
+        np.cumsum(low, out=self.low[1:])
+        np.cumsum(high, out=self.high[1:])
+
+    def every(self, k: int) -> np.ndarray:
+        """Hash of every k consecutive codes; len - k + 1 values."""
+        n = len(self.low) - k
+        if n <= 0:
+            return np.zeros(0, dtype=U)
+        # sums that have run over 2**64 differ by the right amount all the same
+        low, high = self.low[k:] - self.low[:-k], self.high[k:] - self.high[:-k]
+        value = (low & P) + (low >> U(61)) + (high >> U(29)) + ((high & U((1 << 29) - 1)) << U(32))
+        return mix(times(_fold(value), powers(BASE_INV, n)))
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -128,7 +173,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def anchors(codes: np.ndarray, off: np.ndarray, window: int, gram: int):
+def anchors(rolling: Rolling, off: np.ndarray, window: int, gram: int):
     """Winnowed anchors of every window of ``window`` codes that lies within one document.
 
     A window's anchor is the leftmost of its grams with the least hash, so equal windows have equal anchors at equal
@@ -136,9 +181,9 @@ def anchors(codes: np.ndarray, off: np.ndarray, window: int, gram: int):
     windows of one anchor are consecutive.
     """
     empty = np.zeros(0, dtype=np.int64)
-    if len(codes) < window:
+    if off[-1] < window:
         return empty, np.zeros(0, dtype=U), empty, empty, empty
-    grams = gram_hash(codes, gram)
+    grams = rolling.every(gram)
     n = len(grams)
     low = U((1 << max(20, int(n).bit_length())) - 1)
     keys = (grams & ~low) | np.arange(n, dtype=U)

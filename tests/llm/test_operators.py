@@ -92,7 +92,7 @@ def test_substring(docs, rows, batches):
     assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring(rows)
 
 
-@pytest.mark.parametrize("options", [{}, {"frequent": 2, "small": 2}, {"frequent": 2, "small": 2, "long": 20}])
+@pytest.mark.parametrize("options", [{}, {"frequent": 2, "small": 2}, {"frequent": 2, "small": 2, "block": 40}, {"frequent": 10**9, "small": 2}])
 def test_jaccard(docs, rows, options):
     assert got(jaccard.similar_components(docs, **options), "doc_id", "n_shingles", "component_id") == brute.jaccard(rows)
 
