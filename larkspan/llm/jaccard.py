@@ -11,10 +11,10 @@ tokens, and at least two in prefixes longer by one.  So in the extended prefix
 
 Documents that meet under a key are candidates, and every link is decided on the shingles of the two whole texts.
 Buckets of rare tokens with up to SMALL members give all their pairs, which are counted: the shared rare tokens and what
-the sets have left after their prefixes must reach the overlap that is needed.  A rare token with more members than that
-is one that the counts missed; its class alone is then the key, and it is treated like the frequent ones.
+the sets have left after their prefixes must reach the overlap that is needed.  A rare token with more members belongs to
+the class of its member with the least hash, and that class alone is a key.
 
-In the large buckets every member is compared with two pivots, and links make components.  Only what stands outside
+In the buckets of classes every member is compared with two pivots, and links make components.  Only what stands outside
 a bucket's largest component is then compared with the bucket, block by block and never within a component; a block
 reports no more links than it needs to join components.  So a group of near copies never becomes all its pairs, nothing
 unbounded is gathered in a task, and no component is missed.  Documents with equal sets are one vertex from the start.
@@ -48,7 +48,7 @@ SIMILAR = 80
 FREQUENT = 48
 FREQUENT_MAX = 400_000
 #: Buckets of a rare token up to this size give all their pairs at once.
-SMALL = 48
+SMALL = 8
 #: Tokens of the documents in one block of a large bucket.
 BLOCK_TOKENS = 1 << 18
 #: Tokens, and rows of the index, gathered in a worker before they are worked on.
@@ -172,15 +172,16 @@ def index_rows(docs: DataFrame, frequent: np.ndarray, k: int = SHINGLE, similar:
 
 
 def meet(rows: DataFrame, similar: int = SIMILAR, small: int = SMALL) -> DataFrame:
-    """(a, b, na, nb, rest, c, key, often).
+    """(a, b, na, nb, rest, c, key, class, often).
 
     Small buckets of rare tokens give pairs of fitting sizes, c times for c shared keys; ``rest`` is the most that two
     sets can share beyond the rare tokens of both prefixes: past the prefix that ends first, only the rest of that set
-    is left.  The rows of frequent tokens, and of large buckets, come back with b null.  A worker holds GATHER rows.
+    is left.  The rows of frequent tokens, and of large buckets with their class, come back with b null and what is left
+    of the one set as ``rest``.  A worker holds GATHER rows.
     """
     parts = shuffle_parts(rows.sparkSession)
-    names = ["a", "b", "na", "nb", "rest", "c", "key", "often"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+    names = ["a", "b", "na", "nb", "rest", "c", "key", "class", "often"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
     def batch_of(columns):
         return pa.RecordBatch.from_arrays([(x if isinstance(x, pa.Array) else pa.array(x)).cast(t) for x, t in zip(columns, types)], names)
@@ -205,37 +206,43 @@ def meet(rows: DataFrame, similar: int = SIMILAR, small: int = SMALL) -> DataFra
         new = np.flatnonzero(np.concatenate([[True], (p[1:, :4] != p[:-1, :4]).any(axis=1)]))
         c = np.diff(np.concatenate([new, [len(p)]]))
         zero = np.zeros(len(new), np.int64)
-        yield batch_of([*p[new, :4].T, np.maximum.reduceat(p[:, 4], new), c, zero, zero.astype(bool)])
+        yield batch_of([*p[new, :4].T, np.maximum.reduceat(p[:, 4], new), c, zero, zero, zero.astype(bool)])
 
     def work(batches):
         columns = ("key", "doc_id", "n", "rare", "often")
         held: list = []
-        flowing = None  # the key of a large bucket whose rows go on
+        flowing, leader = None, None  # the key and the class of a large bucket whose rows go on
 
         def solve(last):
-            nonlocal held, flowing
+            nonlocal held, flowing, leader
             t = pa.Table.from_batches(held)
             key, doc, n, rare, often = (t.column(c).to_numpy() for c in columns)
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.concatenate([at, [len(key)]]))
             large = size > small
             large[0] |= key[0] == flowing
+            # a class is the member with the least hash; of a bucket that goes on, the one that was named at first
+            names_ = np.lexsort((K.mix(doc.view(np.uint64)), key))[at]
+            classes = doc[names_]
+            if key[0] == flowing:
+                classes[0] = leader
             held = []
             if not last:
                 if large[-1]:
-                    flowing = key[-1]
+                    flowing, leader = key[-1], classes[-1]
                 else:
                     held = t.slice(int(at[-1])).combine_chunks().to_batches()
                     cut, size[-1] = int(at[-1]), 0
                     key, doc, n, rare, often = key[:cut], doc[:cut], n[:cut], rare[:cut], often[:cut]
             big = np.repeat(large, size) | often
+            classes = np.repeat(classes, size)
             lone = np.repeat(size < 2, size) & ~big
             n, rare = n.astype(np.int64), rare.astype(np.int64)
             x = ~big & ~lone
             yield from pairs(key[x], doc[x], n[x], (n - rare)[x])
             if big.any():
                 none = pa.nulls(int(big.sum()), pa.int64())
-                yield batch_of([doc[big], none, n[big], none, none, none, key[big], often[big]])
+                yield batch_of([doc[big], none, n[big], none, (n - rare)[big], none, key[big], classes[big], often[big]])
 
         count = 0
         for b in batches:
@@ -248,7 +255,7 @@ def meet(rows: DataFrame, similar: int = SIMILAR, small: int = SMALL) -> DataFra
         if held:
             yield from solve(True)
 
-    schema = "a long, b long, na int, nb int, rest int, c long, key long, often boolean"
+    schema = "a long, b long, na int, nb int, rest int, c long, key long, class long, often boolean"
     # rows of frequent tokens only pass through, so they are dealt by document too
     spread = F.when(F.col("often"), F.col("doc_id")).otherwise(F.lit(0))
     return rows.repartition(parts, "key", spread).sortWithinPartitions("key").mapInArrow(work, schema)
@@ -258,31 +265,39 @@ def _fits(a, b, similar: int):
     return F.least(a, b).cast("long") * 100 >= similar * F.greatest(a, b).cast("long")
 
 
+def _room(a, b, rest, similar: int):
+    """Whether ``rest`` shared tokens make sets of sizes a and b similar."""
+    return rest >= F.ceil(similar * (a.cast("long") + b.cast("long")) / F.lit(100.0 + similar) - 1e-9)
+
+
 def counted_pairs(met: DataFrame, similar: int) -> DataFrame:
     """(a, b, first): the pairs whose shared rare tokens and what is left after them reach the overlap that is needed;
-    ``first`` marks each document's pair with most shared tokens."""
+    ``first`` marks each document's pair with most shared tokens.  A pair that shares tokens of large buckets besides is
+    left to those."""
     # an id may have several texts: what was met of all of them, against the smallest
     c = met.where("b is not null").groupBy("a", "b").agg(*[f(x).alias(x) for f, x in ((F.sum, "c"), (F.max, "rest"), (F.min, "na"), (F.min, "nb"))])
-    need = F.ceil(similar * (F.col("na").cast("long") + F.col("nb")) / F.lit(100.0 + similar) - 1e-9)
-    kept = settle(c.where(F.col("c") + F.col("rest") >= need).select("a", "b", "c"), "near")
+    kept = settle(c.where(_room(F.col("na"), F.col("nb"), F.col("c") + F.col("rest"), similar)).select("a", "b", "c"), "near")
     ends = kept.select(F.col("a").alias("x"), "a", "b", "c").unionByName(kept.select(F.col("b").alias("x"), "a", "b", "c"))
     best = ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("c", F.xxhash64("a", "b"))).alias("p")).select("p.*").distinct()
     return settle(kept.join(best.withColumn("first", F.lit(True)), ["a", "b"], "left").select("a", "b", F.coalesce("first", F.lit(False)).alias("first")), "near")
 
 
 def class_keys(met: DataFrame) -> DataFrame:
-    """(key, doc_id, n): pairs of classes of frequent tokens, and single classes of rare tokens with large buckets."""
-    rows = met.where("b is null").select("key", F.col("a").alias("doc_id"), F.col("na").alias("n"), "often")
-    named = rows.groupBy("key").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(5))).alias("class"), F.count("*").alias("m"))
+    """(key, doc_id, n, t, rest): pairs of classes of frequent tokens, and single classes of rare tokens with large buckets;
+    t is how many of those the document has in the class, null for frequent ones, and rest what is left of its set."""
+    rows = met.where("b is null").select("key", F.col("a").alias("doc_id"), F.col("na").alias("n"), "rest", "often", "class")
+    often = rows.where("often").drop("class")
+    named = often.groupBy("key").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(5))).alias("class"), F.count("*").alias("m"))
     named = settle(named.where("m > 1").drop("m"), "classes")
-    own = settle(rows.join(named, "key").groupBy("doc_id", "n", "often", "class").agg(F.count("*").alias("t")), "own")
-    lists = own.where("often").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("class", "t"))).alias("cs"))
-    one = lists.select("doc_id", "n", "cs", F.posexplode("cs").alias("p", "x"))
-    two = one.select("doc_id", "n", "x", F.explode(F.slice("cs", F.col("p") + 1, F.size("cs"))).alias("y"))
+    every = often.join(named, "key").unionByName(rows.where("not often"))
+    own = settle(every.groupBy("doc_id", "n", "rest", "often", "class").agg(F.count("*").alias("t")), "own")
+    lists = own.where("often").groupBy("doc_id", "n", "rest").agg(F.sort_array(F.collect_list(F.struct("class", "t"))).alias("cs"))
+    one = lists.select("doc_id", "n", "rest", "cs", F.posexplode("cs").alias("p", "x"))
+    two = one.select("doc_id", "n", "rest", "x", F.explode(F.slice("cs", F.col("p") + 1, F.size("cs"))).alias("y"))
     # the pair of a class with itself takes two tokens of it
     two = two.where((F.col("x.class") != F.col("y.class")) | (F.col("x.t") > 1))
-    pairs = two.select(F.xxhash64("x.class", "y.class").alias("key"), "doc_id", "n")
-    alone = own.where("not often").select(F.xxhash64("class").alias("key"), "doc_id", "n")
+    pairs = two.select(F.xxhash64("x.class", "y.class").alias("key"), "doc_id", "n", F.lit(None).cast("long").alias("t"), "rest")
+    alone = own.where("not often").select(F.xxhash64("class").alias("key"), "doc_id", "n", "t", "rest")
     keys = settle(pairs.unionByName(alone).distinct(), "keys")
     # buckets with the same members are one
     same = keys.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id", "n")).alias("x1"), F.bit_xor(F.xxhash64("n", "doc_id", F.lit(1))).alias("x2"))
@@ -291,13 +306,18 @@ def class_keys(met: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(keys: DataFrame, similar: int) -> DataFrame:
-    """(a, b): every member a of a bucket with its two pivots b, of the sizes that fit."""
-    row = F.struct("doc_id", "n")
+    """(a, b): every member a of a bucket with its two pivots b, of the sizes that fit and with enough shared tokens.
+
+    This only chooses what is tried first: a pair that is left out here meets again in ``cross_links``.
+    """
+    row = F.struct("doc_id", "n", "t", "rest")
     ends = keys.groupBy("key").agg(*[F.min_by(row, F.xxhash64("doc_id", F.lit(s))).alias(f"p{s}") for s in (5, 6)])
     met = keys.join(ends, "key")
     out = None
     for s in (5, 6):
+        shared = F.least("t", F.col(f"p{s}.t")) + F.greatest("rest", F.col(f"p{s}.rest"))
         one = met.where((F.col(f"p{s}.doc_id") != F.col("doc_id")) & _fits(F.col("n"), F.col(f"p{s}.n"), similar))
+        one = one.where(F.col("t").isNull() | _room(F.col("n"), F.col(f"p{s}.n"), shared, similar))
         one = one.select(F.col("doc_id").alias("a"), F.col(f"p{s}.doc_id").alias("b"))
         out = one if out is None else out.unionByName(one)
     return out
