@@ -49,6 +49,8 @@ FREQUENT = 48
 FREQUENT_MAX = 400_000
 #: Buckets of a rare token up to this size give all their pairs at once.
 SMALL = 8
+#: Classes of rare tokens up to this size are looked through by their tokens before whole sets are.
+PRUNED = 512
 #: Tokens of the documents in one block of a large bucket.
 BLOCK_TOKENS = 1 << 18
 #: Tokens, and rows of the index, gathered in a worker before they are worked on.
@@ -270,39 +272,47 @@ def _room(a, b, rest, similar: int):
     return rest >= F.ceil(similar * (a.cast("long") + b.cast("long")) / F.lit(100.0 + similar) - 1e-9)
 
 
-def counted_pairs(met: DataFrame, similar: int) -> DataFrame:
-    """(a, b, first): the pairs whose shared rare tokens and what is left after them reach the overlap that is needed;
-    ``first`` marks each document's pair with most shared tokens.  A pair that shares tokens of large buckets besides is
-    left to those."""
+def counted_pairs(met: DataFrame, loads: DataFrame, similar: int) -> DataFrame:
+    """(a, b, first): the pairs whose shared rare tokens and what is left after them reach the overlap that is needed, the
+    tokens that both have in large buckets (``loads``) counted as shared; ``first`` marks each document's pair with most
+    shared tokens."""
     # an id may have several texts: what was met of all of them, against the smallest
     c = met.where("b is not null").groupBy("a", "b").agg(*[f(x).alias(x) for f, x in ((F.sum, "c"), (F.max, "rest"), (F.min, "na"), (F.min, "nb"))])
-    kept = settle(c.where(_room(F.col("na"), F.col("nb"), F.col("c") + F.col("rest"), similar)).select("a", "b", "c"), "near")
+    side = lambda x: loads.select(F.col("doc_id").alias(x), F.col("total").alias(f"t{x}"))
+    c = c.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    shared = F.col("c") + F.least(F.coalesce("ta", F.lit(0)), F.coalesce("tb", F.lit(0)))
+    kept = settle(c.where(_room(F.col("na"), F.col("nb"), shared + F.col("rest"), similar)).select("a", "b", "c"), "near")
     ends = kept.select(F.col("a").alias("x"), "a", "b", "c").unionByName(kept.select(F.col("b").alias("x"), "a", "b", "c"))
     best = ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("c", F.xxhash64("a", "b"))).alias("p")).select("p.*").distinct()
     return settle(kept.join(best.withColumn("first", F.lit(True)), ["a", "b"], "left").select("a", "b", F.coalesce("first", F.lit(False)).alias("first")), "near")
 
 
-def class_keys(met: DataFrame) -> DataFrame:
-    """(key, doc_id, n, t, rest): pairs of classes of frequent tokens, and single classes of rare tokens with large buckets;
-    t is how many of those the document has in the class, null for frequent ones, and rest what is left of its set."""
+def class_keys(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keys, loads).
+
+    keys has key, doc_id, n, rest, m: pairs of classes of frequent tokens, and single classes of rare tokens with large
+    buckets; m is the number of members.  For the latter it has the document's tokens in the class (``tokens``) and how
+    many it has in all such classes (``total``).  loads has doc_id and total.
+    """
     rows = met.where("b is null").select("key", F.col("a").alias("doc_id"), F.col("na").alias("n"), "rest", "often", "class")
     often = rows.where("often").drop("class")
     named = often.groupBy("key").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(5))).alias("class"), F.count("*").alias("m"))
     named = settle(named.where("m > 1").drop("m"), "classes")
-    every = often.join(named, "key").unionByName(rows.where("not often"))
-    own = settle(every.groupBy("doc_id", "n", "rest", "often", "class").agg(F.count("*").alias("t")), "own")
-    lists = own.where("often").groupBy("doc_id", "n", "rest").agg(F.sort_array(F.collect_list(F.struct("class", "t"))).alias("cs"))
+    own = often.join(named, "key").groupBy("doc_id", "n", "rest", "class").agg(F.count("*").alias("t"))
+    lists = own.groupBy("doc_id", "n", "rest").agg(F.sort_array(F.collect_list(F.struct("class", "t"))).alias("cs"))
     one = lists.select("doc_id", "n", "rest", "cs", F.posexplode("cs").alias("p", "x"))
     two = one.select("doc_id", "n", "rest", "x", F.explode(F.slice("cs", F.col("p") + 1, F.size("cs"))).alias("y"))
     # the pair of a class with itself takes two tokens of it
     two = two.where((F.col("x.class") != F.col("y.class")) | (F.col("x.t") > 1))
-    pairs = two.select(F.xxhash64("x.class", "y.class").alias("key"), "doc_id", "n", F.lit(None).cast("long").alias("t"), "rest")
-    alone = own.where("not often").select(F.xxhash64("class").alias("key"), "doc_id", "n", "t", "rest")
-    keys = settle(pairs.unionByName(alone).distinct(), "keys")
+    pairs = two.select(F.xxhash64("x.class", "y.class").alias("key"), "doc_id", "n", "rest", F.lit(None).cast("array<bigint>").alias("tokens"), F.lit(None).cast("long").alias("total"))
+    alone = settle(rows.where("not often").groupBy("doc_id", "n", "rest", "class").agg(F.collect_list("key").alias("tokens")), "alone")
+    loads = settle(alone.groupBy("doc_id").agg(F.sum(F.size("tokens")).alias("total")), "loads")
+    alone = alone.join(loads, "doc_id").select(F.xxhash64("class").alias("key"), "doc_id", "n", "rest", "tokens", "total")
+    keys = settle(pairs.unionByName(alone), "keys")
     # buckets with the same members are one
     same = keys.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id", "n")).alias("x1"), F.bit_xor(F.xxhash64("n", "doc_id", F.lit(1))).alias("x2"))
-    chosen = settle(same.where("m > 1").groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "chosen")
-    return settle(keys.join(chosen, "key"), "keys")
+    chosen = settle(same.where("m > 1").groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key", "m"), "chosen")
+    return settle(keys.join(chosen, "key"), "keys"), loads
 
 
 def pivot_pairs(keys: DataFrame, similar: int) -> DataFrame:
@@ -310,6 +320,7 @@ def pivot_pairs(keys: DataFrame, similar: int) -> DataFrame:
 
     This only chooses what is tried first: a pair that is left out here meets again in ``cross_links``.
     """
+    keys = keys.select("key", "doc_id", "n", F.size("tokens").alias("t"), F.col("tokens").isNull().alias("often"), "rest")
     row = F.struct("doc_id", "n", "t", "rest")
     ends = keys.groupBy("key").agg(*[F.min_by(row, F.xxhash64("doc_id", F.lit(s))).alias(f"p{s}") for s in (5, 6)])
     met = keys.join(ends, "key")
@@ -317,7 +328,7 @@ def pivot_pairs(keys: DataFrame, similar: int) -> DataFrame:
     for s in (5, 6):
         shared = F.least("t", F.col(f"p{s}.t")) + F.greatest("rest", F.col(f"p{s}.rest"))
         one = met.where((F.col(f"p{s}.doc_id") != F.col("doc_id")) & _fits(F.col("n"), F.col(f"p{s}.n"), similar))
-        one = one.where(F.col("t").isNull() | _room(F.col("n"), F.col(f"p{s}.n"), shared, similar))
+        one = one.where(F.col("often") | _room(F.col("n"), F.col(f"p{s}.n"), shared, similar))
         one = one.select(F.col("doc_id").alias("a"), F.col(f"p{s}.doc_id").alias("b"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -371,6 +382,39 @@ def token_sets(docs: DataFrame, ids: DataFrame, k: int = SHINGLE) -> DataFrame:
     return ids_filter(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInArrow(work, "doc_id long, n int, tokens binary").distinct()
 
 
+def partners(keys: DataFrame, labels: DataFrame, similar: int, most: int = PRUNED) -> DataFrame:
+    """(key, doc_id, n, c): members of the buckets that hold several components, c being the component.
+
+    In classes of rare tokens with up to ``most`` members, those stay that could have a link to another component: the
+    tokens that two members share in the class, those that both have in other classes, and what is left after the
+    prefixes, reach the overlap that is needed.  Only the tokens of the class are looked at here.  A pair that shares
+    tokens of small buckets besides is one of ``counted_pairs``.
+    """
+    named = keys.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    named = settle(named.withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id"), "named")
+    split = settle(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "split")
+    named = named.join(split, "key")
+    few = F.col("tokens").isNotNull() & (F.col("m") <= most)
+
+    def work(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        n, rest, total, c, doc = (t.column(x).to_numpy().astype(np.int64) for x in ("n", "rest", "total", "c", "doc_id"))
+        lists = t.column("tokens").chunk(0)
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, token = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        has = np.zeros((len(n), int(token.max()) + 1), dtype=np.float32)
+        has[np.repeat(np.arange(len(n)), size), token] = 1
+        other = total - size
+        reach = has @ has.T + np.minimum.outer(other, other) + np.maximum.outer(rest, rest)
+        need = -(-similar * np.add.outer(n, n) // (100 + similar))
+        fits = np.minimum.outer(n, n) * 100 >= similar * np.maximum.outer(n, n)
+        apart = (c[:, None] != c[None, :]) & (doc[:, None] != doc[None, :])
+        return t.select(["key", "doc_id", "n", "c"]).filter(pa.array((fits & apart & (reach >= need)).any(axis=1)))
+
+    pruned = named.where(few).groupBy("key").applyInArrow(work, "key long, doc_id long, n int, c long")
+    return settle(pruned.unionByName(named.where(~few).select("key", "doc_id", "n", "c")), "partners")
+
+
 def _joining_links(ids, n, comp, outside, inside, flat, start, similar, all_links):
     """Pairs (outside, inside) of similar sets that join different components."""
     _, flat = np.unique(flat, return_inverse=True)
@@ -406,13 +450,11 @@ def _joining_links(ids, n, comp, outside, inside, flat, start, similar, all_link
     return out
 
 
-def cross_links(keys: DataFrame, labels: DataFrame, docs: DataFrame, k: int, similar: int, block: int = BLOCK_TOKENS, all_links: bool = False) -> DataFrame:
-    """(a, b): within the buckets that hold several components, links that join them, by the halves of the tokens.
+def cross_links(named: DataFrame, docs: DataFrame, k: int, similar: int, block: int = BLOCK_TOKENS, all_links: bool = False) -> DataFrame:
+    """(a, b): within the buckets of ``partners``, links that join components, by the halves of the tokens.
 
     What is outside a bucket's largest component meets the whole bucket, in blocks of about ``block`` tokens.
     """
-    named = keys.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    named = settle(named.select("key", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c")), "named")
     parts = named.groupBy("key", "c").agg(F.sum("n").alias("tokens"))
     most = F.max(F.struct("tokens", "c"))
     split = parts.groupBy("key").agg(F.count("*").alias("k"), F.sum("tokens").alias("all"), most.alias("most")).where("k > 1")
@@ -452,20 +494,21 @@ def _classes(docs: DataFrame, k: int, similar: int, frequent: int, small: int, b
     singles = ids_filter(docs, settle(copies, "copies"), "doc_id", "left_anti")
     common = frequent_tokens(scanned, frequent)
     met = settle(meet(index_rows(singles, common, k, similar), similar, small), "met")
-    near = counted_pairs(met, similar)
-    keys = class_keys(met)
+    keys, loads = class_keys(met)
+    near = counted_pairs(met, loads, similar)
     links = settle(verify(near.where("first").select("a", "b").unionByName(pivot_pairs(keys, similar)), docs, k, similar), "links")
     # classes that share an id are one vertex already; rows of one id with equal sets need no link
     labels = settle(components(links), "labels")
     side = lambda x: labels.select(F.col("id").alias(x), F.col("component_id").alias(f"{x}c"))
     rest = near.where("not first").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = rest.where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
-    across = settle(cross_links(keys, labels, docs, k, similar, block), "across")
+    open_ = partners(keys, labels, similar)
+    across = settle(cross_links(open_, docs, k, similar, block), "across")
     more = settle(verify(rest.unionByName(across), docs, k, similar), "more")
     pair = F.struct(F.least("a", "b"), F.greatest("a", "b")).alias("p")
     if not across.select(pair).join(more.select(pair), "p", "left_anti").isEmpty():
         # halves of tokens made a link that the texts refute, and it may have hidden another: all are tried
-        every = settle(cross_links(keys, labels, docs, k, similar, block, all_links=True), "across")
+        every = settle(cross_links(open_, docs, k, similar, block, all_links=True), "across")
         more = more.unionByName(settle(verify(every, docs, k, similar), "more"))
     if not more.isEmpty():
         known = labels.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
