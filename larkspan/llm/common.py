@@ -43,6 +43,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores in front until ``df`` has no such column, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of texts small: each is held in the JVM, on its way, and in the worker at the same time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -58,6 +69,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): ``row`` tells every row from every other.  It is the id where ids are unique and none is null;
+    else the rows are settled with a number of their own."""
+    slim = docs.select("doc_id", "text")
+    n, ids = slim.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == ids:
+        return slim.withColumn("row", F.col("doc_id"))
+    return settle(slim.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path in whichever store holds it."""
     jvm = spark._jvm

@@ -120,6 +120,16 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(start, off, "left")
 
 
+def joined_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words joined by single spaces, and where each begins and ends there."""
+    size = end - start
+    begin = np.cumsum(size + 1) - size - 1
+    out = np.full(int((size + 1).sum()), 32, dtype=np.uint8)
+    solid = data[~IS_SPACE[data]]
+    out[np.arange(len(solid)) + np.repeat(np.arange(len(size)), size)] = solid
+    return out.tobytes(), begin, begin + size
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each word; ``data`` has the words' bytes in order and nothing but separators besides."""
     if not len(start):

@@ -7,13 +7,14 @@ prefix is long enough stand next to each other.  A window may begin up to 200 by
 sorted from several starts: for a range of starts, those that agree on what all its windows share go on, those that
 agree on everything the windows touch are settled, and the rest is halved, down to single starts.
 
-Equal contexts are one class with a count, so copies are never sorted against each other.  A group of more than CAP
-anchors is not gathered: its windows are counted by 128-bit digests instead, ranges of them first, an aggregation that
-splits.
-
-Cases: a null text is empty; matches never cross documents; a text shorter than the window keeps everything; overlaps
-of a string with itself count; equal rows are two places, so long ones go entirely; rows with a null id lose nothing;
-an empty table gives an empty table; columns besides id and text are not read.
+Equal contexts (128-bit digests) are one class with a count, so copies are never sorted against each other.  A group of
+more than CAP classes is first dealt out by radix: for ranges of RANGE starts, by the bytes their windows share; parts of
+up to CAP classes are sorted, larger ones are dealt out by single starts, where the key is the whole window.
+
+Cases: a null text is empty; matches never cross rows; a text shorter than the window keeps everything, one of any length
+is read whole; overlaps of a string with itself count; rows are documents, so equal rows are two places and long ones
+go entirely, and rows that share an id or have none are each searched and cut as themselves; an empty table gives an
+empty table; columns besides id and text are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, shuffle_parts
-from .windows import anchor_rows, contexts, cut_report, range_digests, window_digests
+from .common import identified, settle, shuffle_parts
+from .windows import CLASS, anchor_rows, contexts, cut_report, range_digests, window_digests
 
 WINDOW = 400
 #: Depth of the multikey quicksort before blind tries take over.
 SHALLOW = 16
-#: Anchors with one gram that a task may gather.
+#: Classes that a task gathers and sorts; larger groups are dealt out by radix first.
 CAP = 400
-#: Offsets that are counted as one range before single windows are.
+#: Starts that are dealt out as one range before single ones are.
 RANGE = 16
 
 
@@ -167,28 +168,34 @@ def repeated_offsets(ctx: list[bytes], a: list[int], nwin: list[int], settled: l
 
 
 def _sorted_groups(rows: DataFrame, window: int) -> DataFrame:
-    """(fp, ch, w1, w2): windows w1..w2 of a class, counted from its context's first, that another class has too."""
+    """(fp, c1, c2, w1, w2): windows w1..w2 of a class, places in its text, that another class of its group has too.
+
+    ``rows`` has the contexts with their group (k1, k2); a task holds one group.
+    """
     parts = shuffle_parts(rows.sparkSession)
+    columns = ("k1", "k2", "ctx", "a", "nwin", "n", "p1", "fp", "c1", "c2")
+    types = (*[pa.int64()] * 3, pa.int32(), pa.int32())
 
     def work(batches):
-        held, fp = [], None
+        held, key = [], None
 
         def solve():
-            ctx, a, nwin, n, ch = [list(x) for x in zip(*held)]
+            ctx, a, nwin, n, p1, *of = [list(x) for x in zip(*held)]
             found = repeated_offsets(ctx, a, nwin, [x > 1 for x in n], window)
-            return [(fp, ch[i], a[i] - hi, a[i] - lo) for i in range(len(ctx)) if n[i] == 1 for lo, hi in found[i]]
+            at = lambda i, o: p1[i] + a[i] - o
+            return [(*(x[i] for x in of), at(i, hi), at(i, lo)) for i in range(len(ctx)) if n[i] == 1 for lo, hi in found[i]]
 
         def emit(out):
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["fp", "ch", "w1", "w2"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["fp", "c1", "c2", "w1", "w2"])
 
         out = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("fp", "ctx", "a", "nwin", "n", "ch"))):
-                if row[0] != fp:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if row[:2] != key:
                     if len(held) > 1:
                         out += solve()
-                    held, fp = [], row[0]
-                held.append(row[1:])
+                    held, key = [], row[:2]
+                held.append(row[2:])
             if len(out) > 20_000:
                 yield emit(out)
                 out = []
@@ -197,59 +204,67 @@ def _sorted_groups(rows: DataFrame, window: int) -> DataFrame:
         if out:
             yield emit(out)
 
-    return rows.repartition(parts, "fp").sortWithinPartitions("fp").mapInArrow(work, "fp long, ch long, w1 int, w2 int")
+    return rows.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(work, "fp long, c1 long, c2 long, w1 int, w2 int")
 
 
-def _counted_groups(docs: DataFrame, classes: DataFrame, window: int, width: int = RANGE) -> DataFrame:
-    """(fp, ch, w1, w2) for the classes of large groups, by counting digests; nothing of a group is gathered.
+def _radix_groups(docs: DataFrame, classes: DataFrame, window: int, cap: int, width: int = RANGE) -> DataFrame:
+    """(fp, c1, c2, w1, w2) for the classes of large groups, dealt out by the bytes that their suffixes share.
 
-    Ranges of offsets come first: what a range's windows share must occur twice, else none of them repeats; if all they
-    touch occurs twice, all of them do.  The windows one by one are only counted for ranges that neither rule settles,
-    together with one class for each text that the second rule found.
+    For each range of starts the group is split by what all windows of the range share: what is alone there repeats
+    nothing, what agrees on all that is touched is settled, and a part of up to ``cap`` classes is sorted like any
+    group.  A part beyond that is split once more, by single starts: there the key is the whole window, and equal keys
+    are what the sorted order would put side by side.
     """
     ranges = settle(range_digests(docs, classes, window, width), "ranges")
     shared = ranges.groupBy("i1", "i2").agg(F.sum("n").alias("c")).where("c > 1").select("i1", "i2")
     alive = ranges.join(shared, ["i1", "i2"])
-    touched = alive.where("whole").groupBy("u1", "u2").agg(F.sum("n").alias("c"), F.min(F.struct("fp", "ch")).alias("one")).where("c > 1")
+    name = F.struct(*CLASS)
+    touched = alive.where("whole").groupBy("u1", "u2").agg(F.sum("n").alias("c"), F.min(name).alias("one")).where("c > 1")
     alive = settle(alive.join(touched, ["u1", "u2"], "left").withColumn("done", F.col("c").isNotNull() & F.col("whole")), "alive")
-    place = classes.select("fp", "ch", "doc_id", "q", "p1", "p2")
+    place = classes.select(*CLASS, "row", "q", "p1", "p2")
     low, high = F.col("g") * width, F.col("g") * width + width - 1
-    at = alive.join(place, ["fp", "ch"])
+    at = alive.join(place, list(CLASS))
     first, last = F.greatest(F.col("p1"), F.col("q") - high), F.least(F.col("p2"), F.col("q") - low)
-    whole = at.where("n = 1 and done").select("fp", "ch", (first - F.col("p1")).alias("w1"), (last - F.col("p1")).alias("w2"))
-    todo = alive.where("n = 1 and not done").select("i1", "i2").distinct()
-    part = at.join(todo, ["i1", "i2"], "left_semi").where(~F.col("done") | (F.col("one") == F.struct("fp", "ch")))
-    # the class that stands for a settled text counts for all of its copies
+    whole = at.where("n = 1 and done").select(*CLASS, first.alias("w1"), last.alias("w2"))
+    # one class stands for each text that the second rule settled; it counts for all of its copies
+    left = alive.where(~F.col("done") | (F.col("one") == name))
+    size = left.groupBy("i1", "i2").agg(F.count("*").alias("k"), F.max((F.col("n") == 1) & ~F.col("done")).alias("todo")).where("todo and k > 1")
     times = F.when(F.col("done") | (F.col("n") > 1), 2).otherwise(1).cast("long")
-    part = part.select("fp", "ch", times.alias("n"), "doc_id", "q", first.alias("p1"), last.alias("p2"))
-    digests = settle(window_digests(docs, part, window, False), "digests")
+    part = at.where(~F.col("done") | (F.col("one") == name)).join(size, ["i1", "i2"])
+    part = settle(part.select(*CLASS, times.alias("n"), "row", "q", first.alias("p1"), last.alias("p2"), "i1", "i2", "k"), "part")
+    few = part.where(F.col("k") <= cap)
+    keyed = contexts(docs, few, window).join(few.select(*CLASS, "p1", F.col("i1").alias("k1"), F.col("i2").alias("k2")), [*CLASS, "p1"])
+    sorted_ = _sorted_groups(keyed, window)
+    digests = settle(window_digests(docs, part.where(F.col("k") > cap), window, False), "digests")
     twice = digests.groupBy("d1", "d2").agg(F.sum("n").alias("c")).where("c > 1").select("d1", "d2")
-    one = digests.where("n = 1").join(twice, ["d1", "d2"]).select("fp", "ch", F.col("o").alias("w"))
-    spot = one.join(place, ["fp", "ch"]).select("fp", "ch", (F.col("q") - F.col("w") - F.col("p1")).alias("w1"))
-    return whole.unionByName(spot.select("fp", "ch", "w1", F.col("w1").alias("w2")))
+    one = digests.where("n = 1").join(twice, ["d1", "d2"]).select(*CLASS, F.col("p").alias("w1"), F.col("p").alias("w2"))
+    return whole.unionByName(sorted_).unionByName(one)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> DataFrame:
-    """(doc_id, s, e): bytes covered by windows that start at two places or more."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    anchors = settle(anchor_rows(docs, window, False), "anchors")
+    """(row, s, e) for rows (doc_id, text, row): bytes covered by windows that start at two places or more."""
+    anchors = settle(anchor_rows(docs.where("text is not null"), window, False).drop("doc_id"), "anchors")
     # settled, so that the join below has an exchange on both sides and Spark can split a gram with very many anchors
-    grams = settle(anchors.groupBy("fp").agg(F.count("*").alias("total")).where("total > 1"), "grams")
+    grams = settle(anchors.groupBy("fp").agg(F.count("*").alias("total")).where("total > 1").select("fp"), "grams")
     met = settle(anchors.join(grams, "fp"), "met")
-    first = F.min(F.struct("doc_id", "q", "p1", "p2")).alias("f")
-    classes = met.groupBy("fp", "ch").agg(F.count("*").alias("n"), F.max("total").alias("total"), first)
-    classes = settle(classes.select("fp", "ch", "n", "total", "f.*"), "classes")
-    # a class that is all of its gram's anchors has no other to be compared with
-    open_ = classes.where(F.col("n") < F.col("total"))
-    sorted_ = _sorted_groups(contexts(docs, open_.where(F.col("total") <= cap), window), window)
-    counted = _counted_groups(docs, open_.where(F.col("total") > cap), window)
-    whole = classes.where("n > 1").select("fp", "ch", F.lit(0).alias("w1"), (F.col("p2") - F.col("p1")).alias("w2"))
-    found = settle(whole.unionByName(sorted_).unionByName(counted), "found")
-    hit = met.select("fp", "ch", "doc_id", "p1").join(found, ["fp", "ch"])
-    return hit.select("doc_id", (F.col("p1") + F.col("w1")).alias("s"), (F.col("p1") + F.col("w2") + window).alias("e"))
+    first = F.min(F.struct("row", "q", "p1", "p2")).alias("f")
+    classes = settle(met.groupBy(*CLASS).agg(F.count("*").alias("n"), first).select(*CLASS, "n", "f.*"), "classes")
+    # a class that is alone under its gram has no other to be compared with
+    groups = settle(classes.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1"), "groups")
+    open_ = settle(classes.join(groups, "fp"), "open")
+    small = contexts(docs, open_.where(F.col("k") <= cap), window).withColumns({"k1": F.col("fp"), "k2": F.lit(0).cast("long")})
+    found = _sorted_groups(small, window).unionByName(_radix_groups(docs, open_.where(F.col("k") > cap), window, cap))
+    # of a class, windows are counted from its first; all of its members have them at the same places
+    found = found.join(classes.select(*CLASS, F.col("p1").alias("base")), list(CLASS))
+    found = found.select(*CLASS, (F.col("w1") - F.col("base")).alias("w1"), (F.col("w2") - F.col("base")).alias("w2"))
+    whole = classes.where("n > 1").select(*CLASS, F.lit(0).alias("w1"), (F.col("p2") - F.col("p1")).alias("w2"))
+    found = settle(whole.unionByName(found), "found")
+    hit = met.select(*CLASS, "row", "p1").join(found, list(CLASS))
+    return hit.select("row", (F.col("p1") + F.col("w1")).alias("s"), (F.col("p1") + F.col("w2") + window).alias("e"))
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False, **options) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text."""
+    """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text."""
+    docs = identified(docs)
     spans = settle(repeated_spans(docs, window, **options), "spans")
     return cut_report(docs, spans, False, keep_text=keep_text).withColumnRenamed("n_units", "n_bytes")
