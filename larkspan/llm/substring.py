@@ -9,9 +9,10 @@ A window goes if its words also start in a document with a smaller id.  All memb
 context) but those of its first document go whole; for these the digests of the class's windows decide, offset by
 offset, against the first document of every other class.
 
-Cases: null and blank texts have no words; a text shorter than a window has none and keeps everything; windows that
-repeat within one document only stay; rows that repeat an id count as one document; rows with a null id lose nothing;
-an empty table gives an empty table; columns besides id and text are not read.
+Cases: null and blank texts have no words; a text shorter than a window has none and keeps everything, one of any length
+is read whole; windows that repeat within one document only stay; rows that repeat an id are one document, whatever
+their texts, and each is cut as itself; rows with a null id lose nothing and are not searched, having no place in the
+order; an empty table gives an empty table; columns besides id and text are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -21,33 +22,39 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, settle, shuffle_parts
-from .windows import anchor_rows, cut_report, window_digests
+from .common import identified, remove, scratch, settle, shuffle_parts
+from .windows import CLASS, anchor_rows, cut_report, window_digests
 
 WINDOW = 50
-BATCHES = 2
-FAN_OUT = 4
+#: The query's batches are more than the fan-out of its index, so the last one meets a compacted run.
+BATCHES = 4
+FAN_OUT = 2
 
 
 class FingerprintIndex:
-    """Sorted runs of (fp, ch, n, last, doc_id, q, p1, p2); doc_id is the first document of the context, last the last."""
+    """Sorted runs of (fp, c1, c2, n, last, doc_id, row, q, p1, p2); doc_id and the places are those of the context's first
+    document, last is its last one.  The runs' files are in the shared folder and go with ``drop``."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fan_out: int = FAN_OUT):
         self.spark, self.fan_out = spark, fan_out
         self.buckets = buckets or shuffle_parts(spark)
         self.runs: list[str] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
         name = f"fingerprint_run_{uuid.uuid4().hex}"
+        self.paths[name] = scratch(self.spark, "run")
         writer = rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet")
-        writer.option("path", scratch(self.spark, "run")).option("compression", "zstd").saveAsTable(name)
+        writer.option("path", self.paths[name]).option("compression", "zstd").saveAsTable(name)
         return name
 
+    def _merged(self, rows: DataFrame, n, last) -> DataFrame:
+        first = F.min(F.struct("doc_id", "row", "q", "p1", "p2")).alias("f")
+        return rows.groupBy(*CLASS).agg(n.alias("n"), last.alias("last"), first).select(*CLASS, "n", "last", "f.*")
+
     def append(self, anchors: DataFrame) -> DataFrame:
         """Write the batch's run and return it."""
-        first = F.min(F.struct("doc_id", "q", "p1", "p2")).alias("f")
-        rows = anchors.groupBy("fp", "ch").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"), first)
-        name = self._write(rows.select("fp", "ch", "n", "last", "f.*"))
+        name = self._write(self._merged(anchors, F.count("*"), F.max("doc_id")))
         self.runs.append(name)
         return self.spark.table(name)
 
@@ -62,15 +69,14 @@ class FingerprintIndex:
         for r in self.runs:
             t = self.spark.table(r)
             rows = t if rows is None else rows.unionByName(t)
-        first = F.min(F.struct("doc_id", "q", "p1", "p2")).alias("f")
-        merged = rows.groupBy("fp", "ch").agg(F.sum("n").alias("n"), F.max("last").alias("last"), first)
-        name = self._write(merged.select("fp", "ch", "n", "last", "f.*"))
+        name = self._write(self._merged(rows, F.sum("n"), F.max("last")))
         self.drop()
         self.runs = [name]
 
     def drop(self) -> None:
         for r in self.runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+            remove(self.spark, self.paths.pop(r))
         self.runs = []
 
 
@@ -84,55 +90,59 @@ def _shared(run: DataFrame, older: list[DataFrame]) -> DataFrame:
 
 
 def batch_spans(docs: DataFrame, anchors: DataFrame, run: DataFrame, older: list[DataFrame], window: int) -> DataFrame:
-    """(doc_id, s, e) to remove from the batch, in words."""
+    """(row, s, e) to remove from the batch, in words."""
     shared = settle(_shared(run, older), "shared")
     places = run.join(shared.hint("merge"), "fp", "left_semi").withColumn("new", F.lit(True))
     for o in older:
         places = places.unionByName(o.join(shared.hint("merge"), "fp", "left_semi").withColumn("new", F.lit(False)))
     # one class may stand in several runs: the first document counts
-    first = F.min(F.struct("doc_id", "q", "p1", "p2")).alias("f")
-    classes = places.groupBy("fp", "ch").agg(first, F.sum("n").alias("total"), F.max("last").alias("last"), F.max("new").alias("new"))
-    classes = settle(classes.select("fp", "ch", "f.*", "total", "last", "new"), "classes")
+    first = F.min(F.struct("doc_id", "row", "q", "p1", "p2")).alias("f")
+    classes = places.groupBy(*CLASS).agg(first, F.sum("n").alias("total"), F.max("last").alias("last"), F.max("new").alias("new"))
+    classes = settle(classes.select(*CLASS, "f.*", "total", "last", "new"), "classes")
     # only classes that share a fingerprint with another need their windows compared
     several = classes.groupBy("fp").agg(F.count("*").alias("k"), F.max("new").alias("any_new")).where("k > 1 and any_new").select("fp")
     compared = classes.join(several, "fp", "left_semi").withColumn("n", F.col("doc_id"))
     digests = settle(window_digests(docs, compared, window, True), "digests")  # n carries the class's first document
     least = digests.groupBy("d1", "d2").agg(F.min("n").alias("first_doc"), F.max("n").alias("last_doc")).where("first_doc < last_doc")
     later = digests.join(least, ["d1", "d2"]).where(F.col("first_doc") < F.col("n"))
-    partly = later.groupBy("fp", "ch").agg(F.collect_set("s").alias("gone"))
-    verdict = classes.where("new").join(partly, ["fp", "ch"], "left").where((F.col("doc_id") < F.col("last")) | F.col("gone").isNotNull())
-    verdict = settle(verdict.select("fp", "ch", F.col("doc_id").alias("first_doc"), "gone"), "verdict")
-    hit = anchors.join(verdict, ["fp", "ch"])
-    whole = hit.where(F.col("doc_id") > F.col("first_doc")).select("doc_id", F.col("p1").alias("s"), (F.col("p2") + window).alias("e"))
+    partly = later.groupBy(*CLASS).agg(F.collect_set("p").alias("gone"))
+    verdict = classes.where("new").join(partly, list(CLASS), "left").where((F.col("doc_id") < F.col("last")) | F.col("gone").isNotNull())
+    gone = F.transform("gone", lambda p: p - F.col("p1")).alias("gone")  # counted from the context's first window
+    verdict = settle(verdict.select(*CLASS, F.col("doc_id").alias("first_doc"), gone), "verdict")
+    hit = anchors.join(verdict, list(CLASS))
+    whole = hit.where(F.col("doc_id") > F.col("first_doc")).select("row", F.col("p1").alias("s"), (F.col("p2") + window).alias("e"))
     part = hit.where((F.col("doc_id") == F.col("first_doc")) & F.col("gone").isNotNull())
-    part = part.select("doc_id", F.explode("gone").alias("w"), "p1").select("doc_id", (F.col("p1") + F.col("w")).alias("s"), (F.col("p1") + F.col("w") + window).alias("e"))
+    part = part.select("row", F.explode("gone").alias("w"), "p1").select("row", (F.col("p1") + F.col("w")).alias("s"), (F.col("p1") + F.col("w") + window).alias("e"))
     return whole.unionByName(part)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, fan_out: int = FAN_OUT) -> DataFrame:
-    """(doc_id, s, e): words covered by windows that also start in a document with a smaller id."""
+    """(row, s, e) for rows (doc_id, text, row): words covered by windows that also start in a document with a smaller id."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    docs = docs.where("doc_id is not null and text is not null")
     index = FingerprintIndex(spark, fan_out=fan_out)
     anchors = settle(anchor_rows(docs, window, True), "anchors")
     cuts = anchors.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5]).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts)) if batches > 1 else []
     out = None
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        batch = anchors
-        if low is not None:
-            batch = batch.where(F.col("doc_id") > low)
-        if high is not None:
-            batch = batch.where(F.col("doc_id") <= high)
-        run = index.append(batch)
-        spans = settle(batch_spans(docs, batch, run, index.older(), window), "spans")
-        index.compact()
-        out = spans if out is None else out.unionByName(spans)
-    index.drop()
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            batch = anchors
+            if low is not None:
+                batch = batch.where(F.col("doc_id") > low)
+            if high is not None:
+                batch = batch.where(F.col("doc_id") <= high)
+            run = index.append(batch)
+            spans = settle(batch_spans(docs, batch, run, index.older(), window), "spans")
+            index.compact()
+            out = spans if out is None else out.unionByName(spans)
+    finally:
+        index.drop()
     return out
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False, **options) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, n_spans, kept_sha256 and, if asked for, the kept text."""
+    """One row per row: doc_id, n_words, n_removed, n_spans, kept_sha256 and, if asked for, the kept text."""
+    docs = identified(docs)
     spans = repeated_spans(docs, window, **options)
     return cut_report(docs, spans, True, keep_text=keep_text).withColumnRenamed("n_units", "n_words")
