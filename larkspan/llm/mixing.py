@@ -12,9 +12,11 @@ exceeds ``repeats`` times its source, and the excess is shared out again by weig
 Every input row is a document: it gets a settled key of its own, so rows that share an id, and rows whose id is null,
 are sized, mixed and kept one by one.
 
-Cases: a null or blank text has size 0 and gives and takes nothing; a null source is a source; a source without words
-has target 0; a null id is an id like any other; repeated rows are documents of their own, interchangeable when all
-their columns agree; an empty table gives an empty table; reruns agree.
+Cases: a null or blank text has size 0 and gives and takes nothing; a text of any length is counted and cut whole; a null
+source is a source; a source without words has target 0; a null id is an id like any other; repeated rows are documents
+of their own, interchangeable when all their columns agree; other columns are kept as they are, whatever their names; an
+empty table gives an empty table; reruns agree.  The driver holds one row per source, and a plan of a row per output
+shard, source and PLAN_ROW slots.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import BROADCAST_IDS, n_words, settle
+from .common import n_words, settle
 
 WEIGHTS = (5, 2, 1)
 VOLUME = 1.5
@@ -34,7 +36,7 @@ REPEATS = 2
 BLOCK = 512
 OUTPUT_SHARDS = 64
 #: Documents whose positions are summed in one task, and slots in one row of the plan.
-STREAM_PART = 20_000
+STREAM_PART = 4_000
 PLAN_ROW = 65_536
 _MASK = (1 << 64) - 1
 
@@ -119,11 +121,11 @@ def draw(slots: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a number of the row that is fixed only once it is settled, and ``_hash`` of all columns,
-    which orders rows the same way in every run.  A null is told from a missing value by a flag."""
-    flagged = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
-    return docs.withColumns({"_row": F.monotonically_increasing_id(), "_hash": F.xxhash64(*flagged)})
+def _keys(docs: DataFrame) -> list:
+    """``_row``, a number of the row that is fixed only once it is settled, and ``_hash`` of all columns, which orders rows
+    the same way in every run.  A null is told from a missing value by a flag."""
+    flagged = [x for c in docs.columns for x in (docs[c], docs[c].isNull())]
+    return [F.monotonically_increasing_id().alias("_row"), F.xxhash64(*flagged).alias("_hash")]
 
 
 def streams(sizes: DataFrame) -> DataFrame:
@@ -145,11 +147,13 @@ def streams(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, volume: float = VOLUME, repeats: float = REPEATS, block: int = BLOCK, shards: int = OUTPUT_SHARDS, seed: int = 1):
     """(sizes, pieces): sizes has _row, doc_id, source, size, source_size, target; pieces has one row per document and
-    slot part: _row, turn, first (word of the document), words, shard, slot.  ``docs`` that already have the columns of
-    ``keyed`` must be settled."""
-    spark = docs.sparkSession
-    rows_ = docs if "_row" in docs.columns else keyed(docs)
-    slim = settle(rows_.select("_row", "_hash", "doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    slot part: _row, turn, first (word of the document), words, shard, slot."""
+    return _mix(docs.select(*_keys(docs), "doc_id", "source", n_words(docs["text"]).alias("size")), weights, volume, repeats, block, shards, seed)
+
+
+def _mix(rows, weights=WEIGHTS, volume=VOLUME, repeats=REPEATS, block=BLOCK, shards=OUTPUT_SHARDS, seed=1):
+    spark = rows.sparkSession
+    slim = settle(rows, "sizes")
     total = {r["source"]: r["size"] for r in slim.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     goal = targets(total, weights, volume, repeats)
     names = list(goal)
@@ -182,7 +186,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, volume: float = VOLUME, repeats: float
                 words[of & (slot == n_slots - 1)] = last
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number), pa.array(turn), pa.array(words)], [*batch.schema.names, "block", "turn", "take"])
 
-    slots = slots.mapInArrow(to_blocks, "shard int, source_no int, slot long, block long, turn long, take long")
+    # the slots grow with the corpus: never broadcast, and the rows of the plan do not tell their number
+    slots = slots.mapInArrow(to_blocks, "shard int, source_no int, slot long, block long, turn long, take long").hint("merge")
     at_ = streams(slim.where("size > 0")).join(facts_df, F.col("source").eqNullSafe(F.col("source_name")))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = at_.select("_row", "source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
@@ -220,34 +225,34 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document taken whole keeps its text as it is; of one taken in part the words stand joined by one space.
     Documents whose source gets less than one pass may be missing, those of sources with more appear twice.
     ``n_chars``, where there is one, is counted anew.  The documents are settled once with their keys, so that the rows
-    that are sized are the rows that are cut.
+    that are sized are the rows that are cut.  The order of a source's words is a hash of the rows, so reruns agree.
     """
-    held = settle(keyed(docs), "keyed")
-    _, pieces = mix(held, **options)
+    columns = docs.columns
+    # the document's own columns stand in a struct, so none of their names can clash
+    held = settle(docs.select(*_keys(docs), F.struct(*[docs[c] for c in columns]).alias("_doc")), "keyed")
+    _, pieces = _mix(held.select("_row", "_hash", "_doc.doc_id", "_doc.source", n_words(F.col("_doc.text")).alias("size")), **options)
     taken = pieces.groupBy("_row", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_taken"))
     taken = settle(taken.drop("turn"), "taken")
-    small = taken.count() <= BROADCAST_IDS
-    columns = docs.columns
-    joined = held.join(F.broadcast(taken) if small else taken, "_row").select(*columns, "_taken")
+    joined = held.drop("_hash").join(taken.hint("merge"), "_row").select("_doc", "_taken")
 
     def cut(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = batch.column("text").to_pylist()
+            arrays = batch.column("_doc").flatten()
             out = []
-            for text, spans in zip(texts, batch.column("_taken").to_pylist()):
-                data, off = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
-                start, end, _ = K.words(data, off)
+            for text, spans in zip(arrays[columns.index("text")].to_pylist(), batch.column("_taken").to_pylist()):
+                raw = text.encode()
+                start, end, _ = K.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
                 if sum(s["words"] for s in spans) >= len(start):
                     out.append(text)
                     continue
                 keep = [w for s in spans for w in range(s["first"], s["first"] + s["words"])]
-                raw = data.tobytes()
                 out.append(b" ".join(raw[start[w] : end[w]] for w in keep).decode())
-            arrays = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in columns]
+            arrays[columns.index("text")] = pa.array(out, pa.string())
             if "n_chars" in columns:
-                arrays[columns.index("n_chars")] = pa.array([len(t) for t in out], batch.schema.field("n_chars").type)
+                at = columns.index("n_chars")
+                arrays[at] = pa.array([len(t) for t in out], arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
     return joined.mapInArrow(cut, docs.schema)
