@@ -5,9 +5,10 @@ row per digest, sort-merge anti-joined with the index, and the digests the index
 DataFrame code; the texts are read once and never shuffled, only 32-byte digests are.
 
 Cases: a null text counts as empty and equals other empty or blank ones; texts are equal when identical after each
-run of ``[\\x20\\x09-\\x0D]`` becomes one space; of equal texts in a batch the smallest id stays; a digest that is in
-the index already keeps the id found there; rows with the same id and text are both returned; an empty batch appends
-nothing; clashing column names in the input are untouched because only id and text are read.
+run of ``[\\x20\\x09-\\x0D]`` becomes one space, and are read whole; of equal texts the smallest id stays, so a row with a
+null id stays only where no equal text has an id; a digest that is in the index already keeps the id found there; rows
+with the same id and text are both returned, and both marked as kept if that id stays; an empty batch appends nothing;
+only id and text are read, so other columns' names may clash.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ids_filter, settle, shuffle_parts
+from .common import SPACE, free_names, ids_filter, remove, scratch, settle, shuffle_parts
 
 #: A digest with more than this share of the rows is joined by broadcast; at most 1 / share digests can be.
 HOT_SHARE = 0.001
@@ -30,18 +31,19 @@ def normalised(text: Column) -> Column:
 class DigestIndex:
     """Persistent (digest, keep_id) table, bucketed and sorted by digest.
 
-    ``path`` is where the files live; without one the table is managed by the warehouse.  Opening an index at a path
-    that holds one registers it again in the session's catalogue.
+    ``path`` is where the files live, in a store that driver and executors share; opening an index at a path that holds
+    one registers it again in the session's catalogue.  Without a path the index is a passing one in the shared folder,
+    and its files go with ``drop``.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
-        self.spark, self.path = spark, path
+        self.spark, self.passing = spark, path is None
+        self.path = path or scratch(spark, "digest-index")
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets or shuffle_parts(spark)
-        where = f"LOCATION '{path}'" if path else ""
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS {where}"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
     def read(self) -> DataFrame:
@@ -60,12 +62,16 @@ class DigestIndex:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if self.passing:
+            remove(self.spark, self.path)
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(
-        F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).alias("digest")
-    )
+    return docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("digest"))
 
 
 def dedup_batch(slim: DataFrame, index: DigestIndex) -> DataFrame:
@@ -99,19 +105,43 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = slim.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5]).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts)) if batches > 1 else []
     index = DigestIndex(spark)
-    part = F.lit(0)
+    # rows without an id come last: an equal text with an id is in the index before them
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.lit(0))
     for c in cuts:
         part = part + F.coalesce(F.col("doc_id") > F.lit(c), F.lit(False)).cast("int")
-    for b in range(len(cuts) + 1):
-        index.add(slim.where(part == b))
-    sizes = slim.groupBy("digest").agg(F.count("*").alias("group_size"))
-    groups = settle(sizes.join(index.read().hint("merge"), "digest"), "groups")
-    index.drop()
+    try:
+        for b in range(len(cuts) + 1):
+            index.add(slim.where(part == b))
+        sizes = slim.groupBy("digest").agg(F.count("*").alias("group_size"))
+        groups = settle(sizes.join(index.read().hint("merge"), "digest"), "groups")
+    finally:
+        index.drop()
     return mark(slim, groups)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the first of each group of equal texts only; rows equal in id and text become one."""
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    rest = ids_filter(docs, settle(gone, "gone"), id_col, "left_anti")
-    return rest.dropDuplicates() if docs.select(id_col).count() != docs.select(id_col).distinct().count() else rest
+    """``docs`` with one row of each group of equal texts: one that has the group's smallest id.
+
+    Where rows repeat that id, or the group has no id, the row that is first by its columns' hash stays.  All columns
+    stay as they are, whatever their names.
+    """
+    marked = exact_dedup(docs, id_col, text_col)
+    # ids that leave with one text and stay with another, and those that stay more than once, are told apart by digest
+    mixed = marked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    gone = settle(marked.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
+    mixed = settle(mixed.select("doc_id"), "mixed")
+    (own,) = free_names(docs, "doc_id_")
+    if mixed.isEmpty():
+        return ids_filter(docs.withColumn(own, F.col(id_col)), gone.withColumnRenamed("doc_id", own), own, "left_anti").drop(own)
+    name, one = free_names(docs, "_digest", "_one")
+    several = mixed.where("doc_id is not null").withColumnRenamed("doc_id", own)
+    tagged = docs.withColumn(own, F.col(id_col))
+    single = ids_filter(tagged.where(F.col(own).isNotNull()), several, own, "left_anti")
+    single = ids_filter(single, gone.withColumnRenamed("doc_id", own), own, "left_anti").drop(own)
+    rest = tagged.where(F.col(own).isNull()).unionByName(ids_filter(tagged, several, own, "left_semi")).drop(own)
+    rest = rest.withColumn(name, digest_of(F.col(text_col)))
+    stays = settle(marked.where("kept").select(F.col("digest").alias(name), F.col("doc_id").alias(own)).distinct(), "stays")
+    order = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
+    held = rest.join(stays, name).where(F.col(id_col).eqNullSafe(F.col(own)))
+    first = held.groupBy(name).agg(F.min_by(F.struct(*docs.columns), order).alias(one))
+    return single.unionByName(first.select(f"{one}.*"))
