@@ -6,8 +6,10 @@ with L1 and L2 penalties on a bounded sample of labelled rows, and a temperature
 Scoring is linear in the n-gram occurrences, so a text of any length takes one pass.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; a text whose n-grams the model never saw gets the
-prior; rows are scored one by one, so repeated rows agree; without training rows everything is ``und``; an empty table
-gives an empty table; clashing columns ``lang_pred`` and ``score`` are replaced.
+prior; texts of any length are read whole; rows are scored one by one, so repeated rows and ids agree and null ids are
+scored like others (they are never held out); equal probabilities go to the language first by name; without training
+rows everything is ``und``; an empty table gives an empty table; ``predict`` replaces clashing columns ``lang_pred`` and
+``score``, ``keep_known`` leaves all columns alone.  The driver holds one row per language and the bounded sample.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .common import bound_batches
+from .common import bound_batches, free_names
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -204,12 +206,12 @@ def train(labelled: DataFrame, rows: int = FIT_ROWS, **options) -> Model | None:
     return fit(picked, idf, **{**FIT, **options})
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; the text is the only input."""
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and the score under the names ``into``; the text is the only input."""
     bound_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*into)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
+        return docs.withColumns({into[0]: F.lit(UND), into[1]: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(
         ((model.weights * model.idf[:, None]).astype(np.float32).T.copy(), model.idf, model.bias, model.temperature, model.scale, model.langs)
     )
@@ -238,9 +240,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             none = c[at[1:]] == c[at[:-1]]
             best[none], score[none] = len(langs), 0.0
             part = batch.slice(rows[0], len(rows))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(score)], [*part.schema.names, *into])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
     return docs.mapInArrow(work, schema)
 
 
@@ -261,8 +263,13 @@ LEAST_SCORE = 0.5
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE, **options) -> DataFrame:
-    """``docs`` without those that no learned language fits: no letters, or a score below ``least``."""
+    """``docs`` without those that no learned language fits: no letters, a null text, or a score below ``least``.
+
+    All columns stay as they are, whatever their names; repeated rows stay or go together; without training rows, or
+    with an empty table, nothing stays.
+    """
     model = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), **options)
     columns = docs.columns
-    scored = predict(docs.withColumn("_text", F.coalesce("text", F.lit(""))), model, "_text")
-    return scored.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*columns)
+    lang, score = free_names(docs, "lang_pred", "score")
+    scored = predict(docs, model, "text", (lang, score))
+    return scored.where((F.col(lang) != UND) & (F.col(score) >= least)).select(*columns)
