@@ -6,8 +6,11 @@ least room that still holds it.  If none does, a bin is opened: for every permit
 pieces tell how full such a bin could get, and the length with the least cost per word wins.  At the end every bin is
 cut down to the smallest permitted length that holds its contents.
 
-Cases: a null or blank text gives one row without a bin; equal rows are packed separately; a document that fills bins
-exactly leaves no rest; a table smaller than a group is one group; an empty table gives an empty table.
+Cases: a null or blank text gives one row without a bin; a document of any length is cut whole; rows that share an id,
+equal or not, and rows with a null id are packed one by one, their pieces under that id; of pieces of one length the
+smaller id comes first, null last, then the piece, the text's hash and the copy, so that reruns agree; a document that
+fills bins exactly leaves no rest; a table smaller than a group is one group; an empty table gives an empty table; only
+id and text are read, so other columns' names may clash.
 """
 
 from __future__ import annotations
@@ -83,19 +86,22 @@ def pack_documents(docs: DataFrame, lengths=LENGTHS, group: int = GROUP, costs=N
     ``seq_id`` is unique; a sequence's pieces stand at their offsets without gaps and fill ``seq_used`` words.
     """
     most = max(lengths)
-    slim = settle(docs.select("doc_id", n_words(F.col("text")).alias("n")), "lengths")
-    pieces = slim.select(
-        "doc_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / most) - 1).cast("int"))).alias("piece")
+    # rows equal in id and text are counted and numbered, so every piece has a key that is the same in every run
+    read = docs.select("doc_id", n_words(F.col("text")).alias("n"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    slim = settle(read.groupBy("doc_id", "h", "n").agg(F.count("*").alias("c")), "lengths")
+    rows = slim.select("doc_id", "h", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("copy"))
+    pieces = rows.select(
+        "doc_id", "h", "copy", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / most) - 1).cast("int"))).alias("piece")
     )
     first = F.col("piece").cast("long") * most
-    pieces = pieces.select("doc_id", "piece", first.alias("first_word"), F.least(F.lit(most), F.col("n") - first).cast("int").alias("n_words"))
-    total = slim.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / most)))).first()[0] or 0
+    pieces = pieces.select("doc_id", "h", "copy", "piece", first.alias("first_word"), F.least(F.lit(most), F.col("n") - first).cast("int").alias("n_words"))
+    total = slim.agg(F.sum(F.col("c") * F.greatest(F.lit(1), F.ceil(F.col("n") / most)))).first()[0] or 0
     groups = max(1, -(-total // group))
-    # equal documents differ by a number of their own, so that copies do not gather in one group
-    dealt = pieces.where("n_words > 0").withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id(), "doc_id", "piece"), F.lit(groups)))
+    # copies differ by their number, so that they do not gather in one group
+    dealt = pieces.where("n_words > 0").withColumn("g", F.pmod(F.xxhash64("doc_id", "h", "copy", "piece"), F.lit(groups)))
 
     def work(key, pdf):
-        pdf = pdf.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["n_words", "doc_id", "piece", "h", "copy"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         bins, offsets, final = pack(pdf["n_words"].to_numpy(), lengths, costs)
         used = np.bincount(bins, weights=pdf["n_words"]).astype(np.int64)
         return pd.DataFrame(
