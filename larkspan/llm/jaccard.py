@@ -338,7 +338,8 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, similar: int = S
     """The pairs (a, b) whose sets are similar, decided on the shingles of the whole texts; of an id with several texts
     one is enough.  The texts of b travel to those of a, so b should be what many pairs share."""
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
-    pairs = settle(pairs.groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.max("b").alias("b")).select((F.col("lo") + F.col("hi") - F.col("b")).alias("a"), "b"), "pairs")
+    pairs = pairs.groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.max("b").alias("b"))
+    pairs = settle(pairs.select(F.when(F.col("b") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("a"), "b"), "pairs")
     ids = settle(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     texts = ids_filter(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ids, "doc_id", "left_semi")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
