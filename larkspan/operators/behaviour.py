@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 #: Actions that count as a click: a click itself and a watch.
 CLICKS = ("click", "watch")
 
@@ -58,9 +60,10 @@ def share_entropy(counts: DataFrame, keys: list[str], category: str, n: str) ->
 
 def rank_change(scores: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """Positions under two scores and how far each key moved up."""
-    b = F.row_number().over(W.orderBy(F.desc(before), key))
-    a = F.row_number().over(W.orderBy(F.desc(after), key))
-    return scores.select(key, b.alias("before"), a.alias("after")).withColumn("moved", F.col("before") - F.col("after"))
+    ranked = scores.select(key, F.col(before).alias("_b"), F.col(after).alias("_a"))
+    for score, name in (("_b", "before"), ("_a", "after")):
+        ranked = running(ranked, score, {name: F.lit(1)}, [key], descending=True)
+    return ranked.select(key, "before", "after", (F.col("before") - F.col("after")).alias("moved"))
 
 
 def leaderboard_overlap(scores: DataFrame, key: str, a: str, b: str, k: int) -> DataFrame:
@@ -105,15 +108,14 @@ def correlations(df: DataFrame, columns: list[str], least: float) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*").where(F.abs("r") > least)
 
 
-def head_share(counts: DataFrame, key: str, n: str, share: float = 0.9, parts: int = 64) -> DataFrame:
+def head_share(counts: DataFrame, key: str, n: str, share: float = 0.9) -> DataFrame:
     """How few keys, most frequent first, cover ``share`` of the mass.
 
     Keys of equal count are interchangeable, so the running sum goes over the distinct counts, not the keys.
     """
     by_count = counts.groupBy(n).agg(F.count("*").alias("keys"))
     total = counts.agg(F.sum(n).alias("total"), F.count("*").alias("all_keys"))
-    w = W.orderBy(F.desc(n)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = by_count.select("*", F.sum(F.col(n) * F.col("keys")).over(w).alias("mass"), F.sum("keys").over(w).alias("upto")).crossJoin(F.broadcast(total))
+    run = running(by_count, n, {"mass": F.col(n) * F.col("keys"), "upto": F.col("keys")}, descending=True).crossJoin(F.broadcast(total))
     goal = F.col("total") * share
     # the first count whose running mass reaches the goal; of its keys, those not needed are given back
     at = run.where(F.col("mass") >= goal).agg(F.max_by(F.struct("mass", "upto", "total", "all_keys", F.col(n).alias("n")), n).alias("x")).select("x.*")

@@ -136,14 +136,21 @@ def diagnose(submissions: DataFrame, placeholder: str, least_chars: int, answers
     return submissions.select("id", F.filter(named, lambda x: x.isNotNull()).alias("findings"))
 
 
+# Words by which a query asks for a printed chapter, words by which it knows better, and the reference.
+ASKS_FOR_PRINT = "已发布|正式出版|完整原书|PDF|页码"
+KNOWS_BETTER = "尚未|未发布"
+CHAPTER = "第([零一二三四五六七八九十0-9]+)章"
+
+
 def unreleased_references(queries: DataFrame, released: DataFrame) -> DataFrame:
-    """(qid, chapter) of chapters a query names, in digits or in Chinese numerals, that are not released."""
-    from ..functions.text import chinese_number
+    """(qid, chapter): chapters that are not released although a query asks for them in print.
 
-    @F.pandas_udf("array<int>")
-    def numbers(column):
-        return column.map(lambda xs: [n for n in (chinese_number(x) for x in xs) if n is not None])
+    Chapters may be named in digits or numerals.  A query that does not ask for print, or that itself says that the
+    chapter is not out yet, is about the topic and passes.
+    """
+    from ..functions.text import chapter_number
 
-    raw = queries.select("qid", F.regexp_extract_all("query", F.lit("第\\s*([0-9]+|[一二两三四五六七八九十]+)\\s*章"), F.lit(1)).alias("raw"))
-    named = raw.select("qid", F.explode(numbers("raw")).alias("chapter")).distinct()
-    return named.join(released, "chapter", "left_anti").select("qid", "chapter")
+    asks = queries.where(F.col("query").rlike(f"(?i){ASKS_FOR_PRINT}") & ~F.col("query").rlike(KNOWS_BETTER))
+    named = asks.select("qid", F.explode(F.regexp_extract_all("query", F.lit(CHAPTER), F.lit(1))).alias("raw"))
+    numbers = named.select("qid", chapter_number(F.col("raw")).alias("chapter")).where("chapter is not null").distinct()
+    return numbers.join(released, "chapter", "left_anti").select("qid", "chapter")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .temporal import bounded_history
 
 
@@ -32,22 +33,23 @@ def neighbourhood(edges: DataFrame, group: DataFrame) -> DataFrame:
     return inner.crossJoin(before).crossJoin(after)
 
 
-def on_cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def on_cycles(edges: DataFrame) -> DataFrame:
     """Edges left after peeling: sources and sinks are removed until none is left, so an acyclic graph leaves nothing.
 
-    Each round cuts its lineage with a checkpoint when the session has a checkpoint folder.
+    Rounds go on until one removes nothing; each is written to the shared folder, where its lineage ends.
     """
     left = edges.select("src", "dst").distinct()
     n = left.count()
-    for _ in range(rounds):
+    while True:
         kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         kept = kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        kept = kept.checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else kept.persist()
+        path = scratch_path(left.sparkSession, "cycles")
+        kept.write.parquet(path)
+        kept = left.sparkSession.read.schema(kept.schema).parquet(path)
         m = kept.count()
         if m == n or m == 0:
             return kept
         left, n = kept, m
-    return left
 
 
 def integrity(nodes: DataFrame, edges: DataFrame, cards: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 
 def classification(df: DataFrame, y: str, score: str, threshold: float) -> DataFrame:
     """Confusion counts, accuracy, precision, recall and F1 at a threshold."""
@@ -29,12 +31,15 @@ def classification(df: DataFrame, y: str, score: str, threshold: float) -> DataF
 def auc(df: DataFrame, y: str, score: str, keys: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by rank sums, ties at their mean rank; per key if there are keys.
 
-    Rows meet per distinct score first, so only distinct scores are ordered.
+    Rows meet per distinct score first, so only distinct scores are ordered; without keys they are ordered by ranges.
     """
-    keys = keys or []
-    by = df.groupBy(*keys, score).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
-    w = W.partitionBy(*keys or [F.lit(1)]).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    part = by.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    by = df.groupBy(*(keys or []), score).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
+    if keys:
+        w = W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
+        part = by.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    else:
+        keys = []
+        part = running(by.where(F.col(score).isNotNull()), score, {"_upto": F.col("_n")}).withColumn("_below", F.col("_upto") - F.col("_n"))
     agg = part.groupBy(*keys).agg(F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)).alias("_s"), F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"))
     return agg.select(*keys, "positives", "negatives", F.try_divide(F.col("_s"), F.col("positives") * F.col("negatives")).alias("auc"))
 
@@ -135,9 +140,8 @@ def two_proportions(df: DataFrame, arm: str, success: Column, control, treatment
 def concentration(counts: DataFrame, n: str) -> DataFrame:
     """Gini coefficient, entropy and Herfindahl index of how mass is spread over keys; keys of equal mass meet first."""
     by = counts.groupBy(n).agg(F.count("*").alias("k"))
-    w = W.orderBy(n).rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy(F.lit(1))
-    d = by.select("*", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("before"), F.sum("k").over(every).alias("keys"), F.sum(F.col(n) * F.col("k")).over(every).alias("mass"))
+    total = counts.agg(F.count("*").alias("keys"), F.sum(n).alias("mass"))
+    d = running(by, n, {"upto": F.col("k")}).withColumn("before", F.col("upto") - F.col("k")).crossJoin(F.broadcast(total))
     # ranks before+1 .. before+k share one value: their sum is k * before + k (k + 1) / 2
     ranks = F.col("k") * F.col("before") + F.col("k") * (F.col("k") + 1) / 2
     p = F.col(n) / F.col("mass")

@@ -11,48 +11,47 @@ from .registry import query
 from .tables import EV, PAIRS, events, pairs, vectors
 
 
-def _some(spark, d):
-    """(user, item) of event users and items that were bought: few, dense lists for the costly similarities."""
-    return events(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("user"), "item")
-
-
-_SOME = f"""{EV}, pr AS (SELECT user_id AS "user", item FROM ev WHERE event_type = 'purchase')"""
 _ICF = """n AS (SELECT item, count(*) AS n FROM pr GROUP BY 1), m AS (SELECT "user", item, count(*) AS m FROM pr GROUP BY ALL),
     c AS (SELECT a.item, b.item AS other, sum(a.m * b.m) AS c FROM m a JOIN m b ON a."user" = b."user" AND a.item <> b.item GROUP BY ALL),
     sim AS (SELECT c.item, other, c / sqrt(x.n * y.n) AS sim FROM c JOIN n x ON x.item = c.item JOIN n y ON y.item = other)"""
 _TOP = """tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY round(sim, 9) DESC, other) AS rank FROM sim) WHERE rank <= 10)"""
+_UCF = """un AS (SELECT "user", count(*) AS n FROM pr GROUP BY 1), s AS (SELECT DISTINCT * FROM pr),
+    uc AS (SELECT a."user", b."user" AS other, count(*) AS c FROM s a JOIN s b ON a.item = b.item AND a."user" <> b."user" GROUP BY ALL),
+    us AS (SELECT uc."user", other, c / sqrt(x.n * y.n) AS sim FROM uc JOIN un x ON x."user" = uc."user" JOIN un y ON y."user" = other),
+    ut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY round(sim, 9) DESC, other) AS rank FROM us) WHERE rank <= 10)"""
 
 
-def _round_sim(s, key="item"):
-    return s.withColumn("sim", F.round("sim", 9))
+def _nearest(sims, key, k=10):
+    """The k nearest of each key, ties after rounding by id."""
+    sims = sims.withColumn("_order", F.round("sim", 9))
+    return O.top_k(sims, [key], k, F.desc("_order"), F.col("other")).drop("_order")
 
 
-def _icf(spark, d, k=10):
-    sim = cf.item_similarity(_some(spark, d)).withColumn("_order", F.round("sim", 9))
-    return O.top_k(sim, ["item"], k, F.desc("_order"), F.col("other")).drop("_order")
+def _icf(spark, d):
+    return _nearest(cf.item_similarity(pairs(spark, d)), "item")
 
 
-@query("j4_item_cf", f"WITH {_SOME}, {_ICF}, {_TOP} SELECT item, other, round(sim, 6) AS sim, rank FROM tk")
+@query("j4_item_cf", f"WITH {PAIRS}, {_ICF}, {_TOP} SELECT item, other, round(sim, 6) AS sim, rank FROM tk")
 def j4_item(spark, d):
     return _icf(spark, d).select("item", "other", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("ag4_item_cf_orders", f"""WITH {PAIRS}, n AS (SELECT item, count(*) AS n FROM pr GROUP BY 1), m AS (SELECT "user", item, count(*) AS m FROM pr GROUP BY ALL),
-    c AS (SELECT a.item, b.item AS other, sum(a.m * b.m) AS c FROM m a JOIN m b ON a."user" = b."user" AND a.item < b.item GROUP BY ALL HAVING sum(a.m * b.m) > 2)
-    SELECT c.item, other, round(c / sqrt(x.n * y.n), 6) AS sim FROM c JOIN n x ON x.item = c.item JOIN n y ON y.item = other""")
+@query("ag4_item_cf_orders", f"""WITH {PAIRS}, {_ICF} SELECT item, count(*) AS others, round(sum(sim), 6) AS mass, round(max(sim), 6) AS nearest FROM sim GROUP BY item""")
 def ag4(spark, d):
-    p = pairs(spark, d)
-    n = p.groupBy("item").agg(F.count("*").alias("n"))
-    s = cf.item_similarity(p).where("item < other")
-    j = s.join(n, "item").join(n.select(F.col("item").alias("other"), F.col("n").alias("n2")), "other")
-    return j.where(F.round(F.col("sim") * F.sqrt(F.col("n") * F.col("n2"))) > 2).select("item", "other", F.round("sim", 6).alias("sim"))
+    s = cf.item_similarity(pairs(spark, d)).groupBy("item")
+    return s.agg(F.count("*").alias("others"), F.round(F.sum("sim"), 6).alias("mass"), F.round(F.max("sim"), 6).alias("nearest"))
 
 
-@query("j4_user_cf", f"""WITH {_SOME}, n AS (SELECT "user", count(*) AS n FROM pr GROUP BY 1), s AS (SELECT DISTINCT * FROM pr),
-    c AS (SELECT a."user", b."user" AS other, count(*) AS c FROM s a JOIN s b ON a.item = b.item AND a."user" <> b."user" GROUP BY ALL)
-    SELECT c."user", other, round(c / sqrt(x.n * y.n), 6) AS sim FROM c JOIN n x ON x."user" = c."user" JOIN n y ON y."user" = other""")
+@query("ag3_similarity_sum", f"""WITH {PAIRS}, {_ICF}, {_TOP} SELECT "user", other AS item, round(sum(sim), 7) AS score FROM (SELECT DISTINCT * FROM pr) h JOIN tk USING (item) GROUP BY ALL""")
+def ag3(spark, d):
+    sums = cf.similarity_sums(pairs(spark, d), _icf(spark, d).select("item", "other", "sim"))
+    return sums.select("user", "item", "score")
+
+
+@query("j4_user_cf", f"""WITH {PAIRS}, {_UCF} SELECT "user", other, round(sim, 6) AS sim, rank FROM ut""")
 def j4_user(spark, d):
-    return cf.user_similarity(_some(spark, d)).select("user", "other", F.round("sim", 6).alias("sim"))
+    near = _nearest(cf.user_similarity(pairs(spark, d)), "user")
+    return near.select("user", "other", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
 _SWING = """s AS (SELECT DISTINCT * FROM pr), uv AS (SELECT a."user" AS u, b."user" AS v, count(*) AS o FROM s a JOIN s b ON a.item = b.item AND a."user" < b."user" GROUP BY ALL),
@@ -61,10 +60,10 @@ _SWING = """s AS (SELECT DISTINCT * FROM pr), uv AS (SELECT a."user" AS u, b."us
     sim AS (SELECT p.item, p.other, coalesce(w, 0) AS sim FROM (SELECT DISTINCT item, other FROM co) p LEFT JOIN sc USING (item, other))"""
 
 
-@query("j5_swing", f"WITH {_SOME}, {_SWING}, {_TOP} SELECT item, other, round(sim, 6) AS sim, rank FROM tk")
+@query("j5_swing", f"WITH {PAIRS}, {_SWING}, {_TOP} SELECT item, other, round(sim, 6) AS sim, rank FROM tk")
 def j5(spark, d):
-    s = _round_sim(cf.swing_similarity(_some(spark, d)))
-    return O.top_k(s, ["item"], 10, F.desc("sim"), F.col("other")).select("item", "other", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+    near = _nearest(cf.swing_similarity(pairs(spark, d)), "item")
+    return near.select("item", "other", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
 _REC = """sc2 AS (SELECT h."user", t.other AS item, sum(t.sim) AS score FROM (SELECT DISTINCT * FROM pr) h JOIN tk t USING (item) GROUP BY ALL),
@@ -72,32 +71,30 @@ _REC = """sc2 AS (SELECT h."user", t.other AS item, sum(t.sim) AS score FROM (SE
     rc AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY round(score, 7) DESC, item) AS rank FROM nw)"""
 
 
-def _recall(spark, d, n=10):
-    sims = _icf(spark, d).select("item", "other", "sim")
-    everything = cf.recall_items(_some(spark, d), sims, 1 << 30).drop("rank").withColumn("score", F.round("score", 7))
-    return O.top_k(everything, ["user"], n, F.desc("score"), F.col("item"))
-
-
-@query("j6_recall_item_cf", f"""WITH {_SOME}, {_ICF}, {_TOP}, {_REC} SELECT "user", item, round(score, 7) AS score, rank FROM rc WHERE rank <= 10""")
+@query("j6_recall_item_cf", f"""WITH {PAIRS}, {_ICF}, {_TOP}, {_REC} SELECT "user", item, round(score, 7) AS score, rank FROM rc WHERE rank <= 10""")
 def j6(spark, d):
-    return _recall(spark, d).select("user", "item", "score", F.col("rank").cast("long").alias("rank"))
+    found = cf.recall_items(pairs(spark, d), _icf(spark, d).select("item", "other", "sim"), 10)
+    return found.select("user", "item", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("j6_recall_user_cf", f"""WITH {_SOME}, n AS (SELECT "user", count(*) AS n FROM pr GROUP BY 1), s AS (SELECT DISTINCT * FROM pr),
-    c AS (SELECT a."user", b."user" AS other, count(*) AS c FROM s a JOIN s b ON a.item = b.item AND a."user" <> b."user" GROUP BY ALL),
-    si AS (SELECT c."user", other, c / sqrt(x.n * y.n) AS sim FROM c JOIN n x ON x."user" = c."user" JOIN n y ON y."user" = other),
-    sc AS (SELECT si."user", s.item, sum(sim) AS score FROM si JOIN s ON s."user" = si.other GROUP BY ALL)
-    SELECT count(*) AS candidates, round(sum(score), 4) AS mass FROM sc ANTI JOIN s ON sc."user" = s."user" AND sc.item = s.item""")
+@query("j6_recall_user_cf", f"""WITH {PAIRS}, {_UCF}, sc AS (SELECT ut."user", s.item, sum(sim) AS score FROM ut JOIN s ON s."user" = ut.other GROUP BY ALL),
+    nw AS (SELECT * FROM sc ANTI JOIN s ON sc."user" = s."user" AND sc.item = s.item)
+    SELECT "user", item, round(score, 7) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY round(score, 7) DESC, item) AS rank FROM nw) WHERE rank <= 10""")
 def j6_user(spark, d):
-    p = _some(spark, d)
-    return cf.recall_users(p, cf.user_similarity(p), 1 << 30).agg(F.count("*").alias("candidates"), F.round(F.sum("score"), 4).alias("mass"))
+    p = pairs(spark, d)
+    found = cf.recall_users(p, _nearest(cf.user_similarity(p), "user").select("user", "other", "sim"), 10)
+    return found.select("user", "item", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _buyers(spark, d):
+    return events(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("user")).distinct()
 
 
 def _routes(spark, d):
     e = events(spark, d)
     popular = e.where("event_type = 'click'").groupBy("item").agg(F.count("*").alias("n"))
     hot = popular.orderBy(F.desc("n"), "item").limit(10)
-    users = _some(spark, d).select("user").distinct()
+    users = _buyers(spark, d)
     hot_route = users.crossJoin(F.broadcast(hot)).select("user", "item", (F.col("n") / 1000.0).alias("score"))
     fresh = e.where("event_type = 'view'").groupBy(F.col("user_id").alias("user"), "item").agg((F.count("*") / 10.0).alias("score"))
     return {"view": fresh.join(users, "user", "left_semi"), "hot": hot_route}
@@ -125,7 +122,7 @@ def so2(spark, d):
     SELECT us."user", CASE WHEN us."user" % 10 = 0 OR us."user" % 7 = 0 THEN '1,2,3' ELSE items END AS items, us."user" % 10 = 0 OR us."user" % 7 = 0 AS degraded,
       CASE WHEN us."user" % 10 = 0 THEN 'overload' WHEN us."user" % 7 = 0 THEN 'timeout' END AS reason FROM us LEFT JOIN l USING ("user")""")
 def tk2(spark, d):
-    users = _some(spark, d).select("user").distinct().withColumns({"over": F.col("user") % 10 == 0, "late": F.col("user") % 7 == 0})
+    users = _buyers(spark, d).withColumns({"over": F.col("user") % 10 == 0, "late": F.col("user") % 7 == 0})
     out = funnel.recommend(users, funnel.union_routes(_routes(spark, d)), [1, 2, 3], 8, "over", "late")
     return out.select("user", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), "degraded", "reason")
 
@@ -222,14 +219,14 @@ def so7(spark, d):
     return n.join(s, "n_nationkey", "left").groupBy("n_nationkey").agg(F.count("s_suppkey").alias("n")).where("n != 4")
 
 
-_KNN = """q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 20), it AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+_KNN = """q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0), it AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     s AS (SELECT qid, id, list_cosine_similarity(q.v, it.v) AS sim FROM q, it), kn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank FROM s)"""
 
 
 @query("j15_knn", f"WITH {_KNN} SELECT qid, id, round(sim, 6) AS sim, rank FROM kn WHERE rank <= 5")
 def j15(spark, d):
     v = vectors(spark, d)
-    out = retrieval.knn(v.where("id < 20").select(F.col("id").alias("qid"), "vec"), v, 5)
+    out = retrieval.knn(v.where("id % 50 = 0").select(F.col("id").alias("qid"), "vec"), v, 5)
     return out.select("qid", "id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -238,14 +235,14 @@ def pf11(spark, d):
     from ..operators.contracts import version_gate
 
     v = vectors(spark, d)
-    q = v.where("id < 20").select(F.col("id").alias("qid"), "vec", F.when(F.col("id") % 2 == 0, "v2").otherwise("v1").alias("version"))
+    q = v.where("id % 50 = 0").select(F.col("id").alias("qid"), "vec", F.when(F.col("id") % 2 == 0, "v2").otherwise("v1").alias("version"))
     return retrieval.knn(version_gate(q, "v2", "v2"), v, 3).select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("ag26_ivf_recall")
 def ag26(spark, d):
     v = vectors(spark, d).select("id", "vec")
-    q = v.where("id < 20").select(F.col("id").alias("qid"), "vec")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("qid"), "vec")
     model, indexed = retrieval.ivf(v, 8)
     return retrieval.recall_at_k(retrieval.ivf_search(model, indexed, q, 5, 6), retrieval.knn(q, v, 5), 5)
 
@@ -253,7 +250,7 @@ def ag26(spark, d):
 @query("m_diversify")
 def diversify(spark, d):
     v = vectors(spark, d).select("id", "vec")
-    near = retrieval.knn(v.where("id < 20").select(F.col("id").alias("qid"), "vec"), v, 30).join(v, "id")
+    near = retrieval.knn(v.where("id % 50 = 0").select(F.col("id").alias("qid"), "vec"), v, 30).join(v, "id")
     return metrics.diversify(near, "qid", "id", "sim", "vec", 5)
 
 
@@ -352,19 +349,22 @@ def m_period(spark, d):
     return metrics.period_change(daily, [], "day", "n", 7).select("day", "n", F.round("change", 6).alias("change"))
 
 
-@query("g6_pagerank", f"""WITH {EV}, e AS (SELECT user_id % 40 AS src, item % 40 AS dst, count(*) AS w FROM ev GROUP BY ALL), m AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e),
-    s1 AS (SELECT dst AS id, 0.85 * p AS s FROM m WHERE src = 1), n1 AS (SELECT id, sum(s) AS s FROM (SELECT * FROM s1 UNION ALL SELECT 1, 1 - sum(s) FROM s1) GROUP BY 1),
-    s2 AS (SELECT dst AS id, sum(0.85 * p * s) AS s FROM m JOIN n1 ON src = id GROUP BY 1), n2 AS (SELECT id, sum(s) AS s FROM (SELECT * FROM s2 UNION ALL SELECT 1, 1 - sum(s) FROM s2) GROUP BY 1)
-    SELECT id, round(s, 8)::DOUBLE AS score FROM n2""")
+@query("g6_pagerank", f"""WITH {EV}, w AS (SELECT user_id AS u, 1000000000 + item AS i, count(*) AS w FROM ev GROUP BY ALL), e AS (SELECT u AS src, i AS dst, w FROM w UNION ALL SELECT i, u, w FROM w),
+    m AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e), s0 AS (SELECT DISTINCT user_id AS seed, user_id AS id, 1.0::DOUBLE AS s FROM ev WHERE user_id % 50 = 0),
+    s1 AS (SELECT seed, dst AS id, sum(0.85 * p * s) AS s FROM m JOIN s0 ON id = src GROUP BY ALL), n1 AS (SELECT seed, id, sum(s) AS s FROM (SELECT * FROM s1 UNION ALL SELECT seed, seed, 1 - sum(s) FROM s1 GROUP BY seed) GROUP BY ALL),
+    s2 AS (SELECT seed, dst AS id, sum(0.85 * p * s) AS s FROM m JOIN n1 ON id = src GROUP BY ALL), n2 AS (SELECT seed, id, sum(s) AS s FROM (SELECT * FROM s2 UNION ALL SELECT seed, seed, 1 - sum(s) FROM s2 GROUP BY seed) GROUP BY ALL)
+    SELECT seed, id, round(s, 8)::DOUBLE AS score FROM n2""")
 def g6(spark, d):
     from ..operators.graph import personalised_pagerank
 
-    e = events(spark, d).groupBy((F.col("user_id") % 40).alias("src"), (F.col("item") % 40).alias("dst")).agg(F.count("*").alias("weight"))
-    seeds = spark.range(1, 2).select(F.col("id").alias("seed"))
-    return personalised_pagerank(e, seeds, 2).select("id", F.round("score", 8).alias("score"))
+    # users and items have id ranges of their own; the walk goes both ways
+    w = events(spark, d).groupBy(F.col("user_id").alias("u"), (F.col("item") + 1000000000).alias("i")).agg(F.count("*").alias("weight"))
+    e = w.select(F.col("u").alias("src"), F.col("i").alias("dst"), "weight").unionByName(w.select(F.col("i").alias("src"), F.col("u").alias("dst"), "weight"))
+    seeds = w.where("u % 50 = 0").select(F.col("u").alias("seed")).distinct()
+    return personalised_pagerank(e, seeds, 2).select("seed", "id", F.round("score", 8).alias("score"))
 
 
 @query("n_negative_samples")
 def negatives(spark, d):
-    p = _some(spark, d)
+    p = pairs(spark, d)
     return cf.negative_samples(p, p.select("item").distinct(), 1)

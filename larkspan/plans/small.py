@@ -138,19 +138,20 @@ def j9(spark, d):
     return graph.neighbours(e, e.where("dst < 5").select(F.col("dst").alias("id")))
 
 
-@query("j10_neighbourhood", """WITH e AS (SELECT l_suppkey % 50 AS src, l_partkey % 50 AS dst FROM lineitem WHERE l_suppkey % 50 <> l_partkey % 50)
-    SELECT count(*) FILTER (src < 10 AND dst < 10) AS inner_edges, count(DISTINCT src) FILTER (dst < 10 AND src >= 10) AS before, count(DISTINCT dst) FILTER (src < 10 AND dst >= 10) AS "after" FROM e""")
+@query("j10_neighbourhood", """WITH e AS (SELECT DISTINCT l_suppkey AS src, 1000000000 + l_partkey AS dst FROM lineitem), g AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 50 = 0 UNION ALL SELECT 1000000000 + p_partkey FROM part WHERE p_partkey % 50 = 0)
+    SELECT count(*) FILTER (src IN (FROM g) AND dst IN (FROM g)) AS inner_edges, count(DISTINCT src) FILTER (dst IN (FROM g) AND src NOT IN (FROM g)) AS before, count(DISTINCT dst) FILTER (src IN (FROM g) AND dst NOT IN (FROM g)) AS "after" FROM e""")
 def j10(spark, d):
-    e = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("src"), (F.col("l_partkey") % 50).alias("dst")).where("src != dst")
-    return graph.neighbourhood(e, spark.range(10))
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000000).alias("dst")).distinct()
+    suppliers = table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("id"))
+    return graph.neighbourhood(e, suppliers.unionByName(table(spark, d, "part").where("p_partkey % 50 = 0").select((F.col("p_partkey") + 1000000000).alias("id"))))
 
 
 @query("j13_integrity", """SELECT 'card_missing' AS problem, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)
-    UNION ALL SELECT DISTINCT 'edge_end_unknown', o_custkey + 1000000 FROM orders WHERE o_orderkey % 50 = 0""")
+    UNION ALL SELECT DISTINCT 'edge_end_unknown', o_custkey + 1000000000 FROM orders""")
 def j13(spark, d):
     nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     o = table(spark, d, "orders")
-    edges = o.where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1000000).alias("dst"))
+    edges = o.select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1000000000).alias("dst"))
     return graph.integrity(nodes, edges, o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("id")).distinct())
 
 
@@ -332,19 +333,41 @@ def sc9(spark, d):
     return t.select(front_matter(F.col("text"), "id").alias("id"), front_matter(F.col("text"), "chapter").alias("chapter"), markdown_section(F.col("text"), "Basis").alias("body"))
 
 
-@query("pf15_submission_diagnosis", """SELECT doc_id AS id, CASE WHEN regexp_matches(text, 'license|License') THEN 'placeholder,' ELSE '' END || CASE WHEN length(regexp_replace(text, '\\s+', '', 'g')) < 600 THEN 'short,' ELSE '' END || 'answers,' AS findings FROM documents WHERE NOT regexp_matches(text, '(^|\\n)\\s*[0-9]+[.)]')""")
+@query("pf15_submission_diagnosis", r"""SELECT doc_id AS id, CASE WHEN regexp_matches(text, 'license|License') THEN 'placeholder,' ELSE '' END || CASE WHEN length(regexp_replace(text, '\s+', '', 'g')) < 600 THEN 'short,' ELSE '' END
+    || CASE WHEN regexp_matches(text, '(?m)^\s*[0-9]+[.)]\s*\S') THEN '' ELSE 'answers,' END AS findings FROM documents""")
 def pf15(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").where(~F.col("text").rlike(r"(^|\n)\s*[0-9]+[.)]"))
-    return C.diagnose(docs, "license|License", 600, 1).select("id", F.concat(F.array_join("findings", ","), F.lit(",")).alias("findings"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return C.diagnose(docs, "license|License", 600, 1).select("id", F.array_join(F.transform("findings", lambda x: F.concat(x, F.lit(","))), "").alias("findings"))
 
 
-@query("pf16_unreleased", """SELECT * FROM (VALUES (1, 23), (3, 99)) t(qid, chapter)""")
+@query("pf16_unreleased", """SELECT * FROM (VALUES (1, 23), (3, 99), (7, 0), (8, 40)) t(qid, chapter)""")
 def pf16(spark, d):
-    q = spark.createDataFrame([(1, "第二十三章讲了什么"), (2, "第 3 章和第十章"), (3, "第九十九章"), (4, "协同过滤")], "qid int, query string")
+    asked = ["第二十三章的PDF", "第3章和第十章的页码", "完整原书第九十九章", "协同过滤 pdf", "第九十九章讲了什么", "第三十章PDF尚未发布吗", "第零章pdf", "已发布的第十章和第四十章", "第十十章PDF", "第百章PDF"]
+    q = spark.createDataFrame(list(enumerate(asked, 1)), "qid int, query string")
     released = spark.range(1, 23).select(F.col("id").cast("int").alias("chapter"))
     return C.unreleased_references(q, released)
 
 
+_STEM = r"regexp_replace(regexp_extract(path, '([^/]+)/*$', 1), '[.][^.]*$', '')"
+
+
+@query("q_code_relevance", rf"""WITH f AS (SELECT replace(p_name, ' ', '_') || '/' || lower(p_type) || '-' || p_partkey % 13 || '.py' AS path, lower(p_brand || ' ' || p_name) AS label, CAST(p_partkey % 20 AS INT) AS chapter FROM part),
+    q AS (SELECT * FROM (VALUES (0, 'eco'), (1, 'economy'), (2, 'promo'), (3, 'widget'), (4, 'standard 7'), (5, '12'), (6, 'large promo'), (7, '')) t(qid, query)),
+    n AS (SELECT DISTINCT qid, query, path, label, chapter, translate(lower({_STEM}), '_-', '  ') AS name, length(query) < 4 AS short FROM f, q),
+    w AS (SELECT *, string_split(name, ' ') AS ws, list_distinct(regexp_extract_all(query, '[a-z][a-z0-9_-]+')) AS ts FROM n),
+    b AS (SELECT *, CASE WHEN short THEN CASE WHEN list_contains(ws, query) THEN 28 ELSE 0 END WHEN contains(name, query) THEN 28 WHEN len(list_filter(ws, lambda x: starts_with(x, query))) > 0 THEN 12 WHEN contains(label, query) THEN 20 ELSE 0 END AS base,
+      2 * len(list_filter(ts, lambda t: contains(name, t))) AS extra FROM w),
+    s AS (SELECT DISTINCT qid, path, chapter, CASE WHEN query = '' THEN 1 WHEN short AND base = 0 THEN 0 ELSE base + extra END AS score FROM b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chapter, path) AS rank FROM s WHERE score > 0) SELECT qid, path, score, rank FROM r WHERE rank <= 8""")
+def code(spark, d):
+    from ..operators.retrieval import code_search
+
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("/"), F.lower("p_type"), F.lit("-"), (F.col("p_partkey") % 13).cast("string"), F.lit(".py"))
+    f = table(spark, d, "part").select(name.alias("path"), F.concat_ws(" ", "p_brand", "p_name").alias("label"), (F.col("p_partkey") % 20).cast("int").alias("chapter")).distinct()
+    q = spark.createDataFrame(list(enumerate(["eco", "economy", "promo", "widget", "standard 7", "12", "large promo", ""])), "qid int, query string")
+    return code_search(q, f).select("qid", "path", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("w9_top_per_group", """SELECT l_suppkey, l_orderkey, l_linenumber, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3""")
 def w9(spark, d):
     from ..operators.temporal import top_k
@@ -397,9 +420,3 @@ def sc12(spark, d):
     overwrite_partitions(li, path, "l_returnflag")
     overwrite_partitions(li.where("l_returnflag = 'R' and l_linestatus = 'F'"), path, "l_returnflag")
     return spark.read.parquet(path).groupBy("l_returnflag").agg(F.count("*").alias("n"))
-
-
-@query("ag3_similarity_sum", """WITH h AS (SELECT o_custkey AS c, l_suppkey AS s, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT c, sum(n)::BIGINT AS total FROM h GROUP BY 1""")
-def ag3(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
-    return o.join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k").groupBy("c").agg(F.count("*").alias("total"))

@@ -20,7 +20,7 @@ def _queries(spark, d):
     return q.select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
 
 
-_Q = """q AS (SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark WHERE item_id < 12)"""
+_Q = """q AS (SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark)"""
 _BM = f"""{CHUNKS}, {_Q}, dt AS (SELECT id, {_TOK.format("section || ' ' || text")} AS t FROM ch), ix AS (SELECT id, len(t) AS l, unnest(t) AS term FROM dt),
     tf AS (SELECT id, term, l, count(*) AS tf FROM ix GROUP BY ALL), st AS (SELECT count(*) AS n, greatest(avg(len(t)), 1) AS mean FROM dt),
     qt AS (SELECT qid, term, count(*) AS qw FROM (SELECT qid, unnest({_TOK.format("query")}) AS term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -53,10 +53,34 @@ def pf1(spark, d):
     return R.bm25(_queries(spark, d), chunks(spark, d).where("chapter = 3")).select("qid", "id", F.round("bm25", 6).alias("bm25"))
 
 
+# names that the test texts hold; a longer one holds a shorter one
+ALIASES = {"the": ["definite article", "thereon"], "and": ["as well as", "plus"], "ansh": ["esh"]}
+CONCEPTS = [("er-st", "erst", 3), ("thention", "thention", 5), ("definite", "the", 7), ("ble", "ble", 9), ("inon", "that inon", 11)]
+
+
 @query("q9_rank")
 def q9(spark, d):
-    hints = _queries(spark, d).select("qid", (F.col("qid") % 20).cast("int").alias("chapter"))
-    return R.rank(_queries(spark, d), chunks(spark, d), 5, hints=hints).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    q = T.chapter_hints(T.expand_queries(_queries(spark, d), ALIASES), CONCEPTS, ALIASES)
+    hints = q.where("size(chapters) = 1").select("qid", F.col("chapters")[0].alias("chapter"))
+    pointers = q.where("qid % 7 = 0").select("qid", F.lit("src3.pdf").alias("source"), (F.col("qid") % 50 + 1).cast("int").alias("page"))
+    out = R.rank(q, chunks(spark, d), 5, pointers=pointers, hints=hints)
+    return out.select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+_STANDS = "regexp_matches(' ' || lower(query) || ' ', '[^a-z0-9_/-]({})[^a-z0-9_/-]')"
+
+
+@query("fn_expand_queries", f"""WITH {_Q}, m AS (SELECT qid, query, {_STANDS.format('the|definite article|thereon')} AS a, {_STANDS.format('and|as well as|plus')} AS b, {_STANDS.format('ansh|esh')} AS c FROM q)
+    SELECT qid, query || CASE WHEN a THEN ' the definite article thereon' ELSE '' END || CASE WHEN b THEN ' and as well as plus' ELSE '' END || CASE WHEN c THEN ' ansh esh' ELSE '' END AS expanded FROM m""")
+def expand(spark, d):
+    return T.expand_queries(_queries(spark, d), ALIASES).select("qid", "expanded")
+
+
+@query("fn_chapter_hints", f"""WITH {_Q}, m AS (SELECT qid, {_STANDS.format('erst|er st')} AS c3, {_STANDS.format('thention')} AS c5, {_STANDS.format('ble')} AS c9, {_STANDS.format('that inon|inon')} AS c11, {_STANDS.format('the|definite')} AS c7 FROM q)
+    SELECT qid, array_to_string(list_filter([CASE WHEN c3 THEN 3 END, CASE WHEN c5 THEN 5 END, CASE WHEN c7 THEN 7 END, CASE WHEN c9 THEN 9 END, CASE WHEN c11 THEN 11 END], lambda x: x IS NOT NULL), ',') AS chapters FROM m""")
+def hints(spark, d):
+    h = T.chapter_hints(_queries(spark, d), CONCEPTS, ALIASES)
+    return h.select("qid", F.array_join(F.transform("chapters", lambda c: c.cast("string")), ",").alias("chapters"))
 
 
 def _lexical(spark, d):
@@ -128,10 +152,8 @@ def pf4(spark, d):
     return c.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("sc6_pack_paragraphs", """WITH RECURSIVE p AS (SELECT doc_id, list_filter([regexp_replace(trim(x), '[ \\t]+', ' ', 'g') FOR x IN string_split(text, chr(10))], lambda x: x <> '') AS ps FROM documents WHERE doc_id < 200),
-    r AS (SELECT doc_id, ps, 1 AS i, 0 AS size, 0 AS blocks FROM p UNION ALL
-      SELECT doc_id, ps, i + 1, CASE WHEN size > 0 AND size + length(ps[i]) > 400 THEN length(ps[i]) ELSE size + length(ps[i]) END, blocks + CASE WHEN size = 0 OR size + length(ps[i]) > 400 THEN 1 ELSE 0 END FROM r WHERE i <= len(ps))
-    SELECT doc_id, max(blocks)::BIGINT AS blocks FROM r GROUP BY doc_id""")
+@query("sc6_pack_paragraphs", """WITH p AS (SELECT doc_id, [{'size': length(x), 'blocks': 0} FOR x IN list_filter([regexp_replace(trim(x), '[ \\t]+', ' ', 'g') FOR x IN string_split(text, chr(10))], lambda x: x <> '')] AS ps FROM documents)
+    SELECT doc_id, list_reduce(list_prepend({'size': 0, 'blocks': 0}, ps), lambda a, b: {'size': CASE WHEN a.size > 0 AND a.size + b.size > 400 THEN b.size ELSE a.size + b.size END, 'blocks': a.blocks + CASE WHEN a.size = 0 OR a.size + b.size > 400 THEN 1 ELSE 0 END}).blocks::BIGINT AS blocks FROM p""")
 def sc6(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", F.size(T.pack_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")), 400)).cast("long").alias("blocks"))
@@ -145,7 +167,7 @@ def sc7(spark, d):
     return carry_forward(c, ["conv_id"], ["turn"], "h", "heading").select("conv_id", "turn", "heading")
 
 
-@query("sc8_sections", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents WHERE doc_id < 300),
+@query("sc8_sections", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents),
     m AS (SELECT doc_id, n, regexp_matches(line, '^The') AS s FROM l), e AS (SELECT doc_id, max(n) AS last FROM m GROUP BY 1)
     SELECT m.doc_id, n AS "first", coalesce(lead(n) OVER (PARTITION BY m.doc_id ORDER BY n) - 1, last) AS "last" FROM m JOIN e USING (doc_id) WHERE s""")
 def sc8(spark, d):
@@ -161,6 +183,6 @@ def sc3(spark, d):
 
 @query("fn_hashed_cosine")
 def hashed(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", V.hashed_vector(F.col("text")).alias("v"))
-    q = _queries(spark, d).select("qid", V.hashed_vector(F.col("query")).alias("qv"))
-    return docs.crossJoin(F.broadcast(q)).select("qid", "doc_id", F.round(V.sparse_cosine(F.col("qv"), F.col("v")), 6).alias("sim"))
+    docs = V.with_hashed_vector(table(spark, d, "documents").select("doc_id", "text"), F.col("text"), "v").drop("text")
+    q = V.with_hashed_vector(_queries(spark, d), F.col("query"), "qv").drop("query")
+    return docs.crossJoin(q).select("qid", "doc_id", F.round(V.sparse_cosine(F.col("qv"), F.col("v")), 6).alias("sim"))

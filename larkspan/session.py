@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,12 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; only in local mode, where that is unset, under a temporary folder."""
+    """A new path under ``spark.checkpoint.dir``; only a local session may leave that unset, and then has a temporary
+    folder that goes when the program ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="larkspan-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="larkspan-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        root = f"file://{_local[0]}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

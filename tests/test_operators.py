@@ -19,7 +19,7 @@ def rows(df, *columns):
 def test_tokens(spark):
     df = spark.createDataFrame([("Été C++ v1.2 协同过滤 x 好",), ("",)], "t string")
     assert [r[0] for r in df.select(T.tokens(F.col("t"))).collect()] == [["t", "c++", "v1.2", "x", "协同", "同过", "过滤", "好"], []]
-    assert V.text_tokens("Été C++ v1.2 协同过滤 x 好") == ["t", "c++", "v1.2", "x", "协同", "同过", "过滤", "好"]
+
 
 
 def test_pack_paragraphs(spark):
@@ -174,3 +174,42 @@ def test_stream_recent_actions(spark, tmp_path):
     ev = events(spark)
     out = run(stateful.recent_actions(stream(spark, tmp_path, ev, 1), ["user_id"], 3, 3600), "recent", "update")
     assert sorted((r.user_id, r["items"]) for r in out.collect()) == [(u, [(i * 7) % 5 for i in range(60) if i % 3 == u][-3:]) for u in range(3)]
+
+
+def test_running_order(spark):
+    import random
+
+    from larkspan.operators.ordering import running
+
+    rng = random.Random(9)
+    rows_ = [(i, float(rng.choice([0, 1, 1, 2, 5, 1e9, -3])) + rng.choice([0, 0, rng.random()])) for i in range(400)]
+    df = spark.createDataFrame(rows_, "id int, x double").repartition(5)
+    for ranges in (2, 256):
+        for down in (False, True):
+            out = {r.id: (r.no, r.s) for r in running(df, "x", {"no": F.lit(1), "s": F.col("x")}, ["id"], down, ranges).collect()}
+            total = 0.0
+            for n, (i, x) in enumerate(sorted(rows_, key=lambda r: (-r[1] if down else r[1], r[0])), 1):
+                total += x
+                assert out[i][0] == n and abs(out[i][1] - total) < 1e-3
+    assert running(df.limit(0), "x", {"no": F.lit(1)}).count() == 0
+
+
+def test_cycles_need_many_rounds(spark):
+    """A long chain loses one edge at each end per round; only the circle at its side stays."""
+    chain = [(i, i + 1) for i in range(24)] + [(100, 101), (101, 100), (5, 100)]
+    left = graph.on_cycles(spark.createDataFrame(chain, "src int, dst int"))
+    assert rows(left, "src", "dst") == [(100, 101), (101, 100)]
+
+
+def test_scratch_without_settings(tmp_path):
+    """A local session without any preset configuration has a scratch folder."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "from pyspark.sql import SparkSession; from larkspan import session as s; spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate();"
+        "a, b = s.scratch_path(spark, 'x'), s.scratch_path(spark, 'x'); assert a != b and a.startswith('file:/'); spark.range(3).write.parquet(a); assert spark.read.parquet(a).count() == 3"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": root, "SPARK_CONF_DIR": str(tmp_path)})
