@@ -61,11 +61,12 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there and lost executors cost nothing."""
+def settle(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder, by ``folders`` if given, and read again: lineage ends there and lost executors
+    cost nothing."""
     bound_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*(folders or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,7 @@
 Documents arrive in batches of ascending id.  Each batch's window fingerprints become a sorted, immutable run: a table
 bucketed and sorted by fingerprint, one row per distinct context with its first document.  A new run is merge-joined,
 bucket by bucket without a shuffle, with itself and with the older runs; what shares a fingerprint is verified on a
-cryptographic digest of the window's words; when there are more than FAN_OUT runs they are compacted into one.
+cryptographic digest of the window's words; older runs are compacted into one when there are more than FAN_OUT.
 
 A window goes if its words also start in a document with a smaller id.  All members of a class (equal gram and equal
 context) but those of its first document go whole; for these the digests of the class's windows decide, offset by
@@ -26,9 +26,9 @@ from .common import identified, remove, scratch, settle, shuffle_parts
 from .windows import CLASS, anchor_rows, cut_report, window_digests
 
 WINDOW = 50
-#: The query's batches are more than the fan-out of its index, so the last one meets a compacted run.
-BATCHES = 4
-FAN_OUT = 2
+#: The query's batches, and the older runs that one is joined with at most: the last one meets a compacted run.
+BATCHES = 3
+FAN_OUT = 1
 
 
 class FingerprintIndex:
@@ -53,7 +53,8 @@ class FingerprintIndex:
         return rows.groupBy(*CLASS).agg(n.alias("n"), last.alias("last"), first).select(*CLASS, "n", "last", "f.*")
 
     def append(self, anchors: DataFrame) -> DataFrame:
-        """Write the batch's run and return it."""
+        """Write the batch's run and return it; the older ones are compacted first if they are too many."""
+        self.compact()
         name = self._write(self._merged(anchors, F.count("*"), F.max("doc_id")))
         self.runs.append(name)
         return self.spark.table(name)
@@ -121,20 +122,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null and text is not null")
     index = FingerprintIndex(spark, fan_out=fan_out)
-    anchors = settle(anchor_rows(docs, window, True), "anchors")
-    cuts = anchors.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5]).alias("c")).first()["c"] or []
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5]).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts)) if batches > 1 else []
+    number = F.lit(0)
+    for c in cuts:
+        number = number + (F.col("doc_id") > c).cast("int")
+    # a folder for each batch, so that a batch reads its own anchors only
+    anchors = settle(anchor_rows(docs, window, True).withColumn("batch", number), "anchors", ["batch"])
     out = None
     try:
-        for low, high in zip([None, *cuts], [*cuts, None]):
-            batch = anchors
-            if low is not None:
-                batch = batch.where(F.col("doc_id") > low)
-            if high is not None:
-                batch = batch.where(F.col("doc_id") <= high)
+        for b in range(len(cuts) + 1):
+            batch = anchors.where(F.col("batch") == b).drop("batch")
             run = index.append(batch)
             spans = settle(batch_spans(docs, batch, run, index.older(), window), "spans")
-            index.compact()
             out = spans if out is None else out.unionByName(spans)
     finally:
         index.drop()
