@@ -63,10 +63,12 @@ def _repeat_words(words: Column, n: Column, window: int = WINDOW) -> Column:
 
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(order, repeated))
 
-    hashes = F.transform(
-        F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, window))
-    )
-    return F.when(n < window, F.lit(0).cast("long")).otherwise(let(hashes, covered))
+    # each word is hashed once, a window is the hash of its words' hashes
+    def hashes(w):
+        return F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window)))
+
+    once = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(n < window, F.lit(0).cast("long")).otherwise(let(once, lambda w: let(hashes(w), covered)))
 
 
 def metrics(text: Column, stop_words=STOP_WORDS, window: int = WINDOW) -> Column:

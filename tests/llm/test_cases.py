@@ -109,8 +109,6 @@ def test_jaccard_blocks_and_families(spark):
 
 def test_refuted_halves(spark, monkeypatch):
     """Links that half hashes invent are refuted on the texts, and what they may have hidden is tried again."""
-    import numpy as np
-
     real = jaccard._joining_links
 
     def eager(ids, n, comp, outside, inside, flat, start, similar, all_links):
@@ -121,7 +119,6 @@ def test_refuted_halves(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_joining_links", eager)
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(base[:60] + [f"q{i // 2}_{j}" for j in range(40)] + ([f"e{i}"] if i % 2 else []))) for i in range(30)]
-    assert np is not None
     out = jaccard.similar_components(frame(spark, rows), frequent=4, small=2)
     assert got(out, "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(rows), key=repr)
 
