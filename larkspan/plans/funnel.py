@@ -36,10 +36,9 @@ def j4_item(spark, d):
     return _icf(spark, d).select("item", "other", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("ag4_item_cf_orders", f"""WITH {PAIRS}, {_ICF} SELECT item, count(*) AS others, round(sum(sim), 6) AS mass, round(max(sim), 6) AS nearest FROM sim GROUP BY item""")
+@query("ag4_item_cf_orders", f"""WITH {PAIRS}, {_ICF} SELECT item, other, round(sim, 6) AS sim FROM sim WHERE item < other""")
 def ag4(spark, d):
-    s = cf.item_similarity(pairs(spark, d)).groupBy("item")
-    return s.agg(F.count("*").alias("others"), F.round(F.sum("sim"), 6).alias("mass"), F.round(F.max("sim"), 6).alias("nearest"))
+    return cf.item_similarity(pairs(spark, d)).where("item < other").select("item", "other", F.round("sim", 6).alias("sim"))
 
 
 @query("ag3_similarity_sum", f"""WITH {PAIRS}, {_ICF}, {_TOP} SELECT "user", other AS item, round(sum(sim), 7) AS score FROM (SELECT DISTINCT * FROM pr) h JOIN tk USING (item) GROUP BY ALL""")
@@ -239,6 +238,23 @@ def pf11(spark, d):
     return retrieval.knn(version_gate(q, "v2", "v2"), v, 3).select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("fn_vectors", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, list_reverse(CAST(embedding AS DOUBLE[])) AS r FROM embeddings),
+    x AS (SELECT *, list_dot_product(v, v) AS n2, list_dot_product(v, r) AS d, [exp(a - list_max(v)) FOR a IN v] AS ex FROM e)
+    SELECT vec_id, round(sqrt(n2), 6) AS norm, round(d / n2, 6) AS cosine, round(list_sum([a / sqrt(n2) FOR a IN v]), 6) AS unit_sum, round(list_max(ex) / list_sum(ex), 6) AS softmax_top,
+      round(list_sum([greatest(a, 0) FOR a IN v]), 6) AS relu_sum, round(list_sum(v) * (0.25 + 0.75), 6) AS weighted, round(list_sum(v) * d + list_sum(v) + list_sum(r), 6) AS crossed FROM x""")
+def vector_functions(spark, d):
+    from ..functions import vectors as V
+
+    v, r = F.col("v"), F.reverse("v")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    e = vectors(spark, d).select(F.col("id").alias("vec_id"), F.transform("vec", lambda x: x.cast("double")).alias("v"))
+    out = {
+        "norm": V.norm(v), "cosine": V.cosine(v, r), "unit_sum": total(V.unit(v)), "softmax_top": F.array_max(V.softmax(v)), "relu_sum": total(V.relu(v)),
+        "weighted": total(V.weighted_sum([v, r], [F.lit(0.25), F.lit(0.75)])), "crossed": total(V.cross_layer(v, v, r, r)),
+    }
+    return e.select("vec_id", *[F.round(c, 6).alias(n) for n, c in out.items()])
+
+
 @query("ag26_ivf_recall")
 def ag26(spark, d):
     v = vectors(spark, d).select("id", "vec")

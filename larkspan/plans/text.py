@@ -33,6 +33,12 @@ def q1(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("tokens"))
 
 
+@query("fn_normalise", r"""SELECT conv_id, turn, md5(regexp_replace(regexp_replace(regexp_replace(role || '  ' || text || chr(9), '[ \t]+', ' ', 'g'), '^\s+', ''), '\s+$', '')) AS text FROM conversations""")
+def normalised(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.md5(T.normalise(F.concat("role", F.lit(" \0"), "text", F.lit("\t")))).alias("text"))
+
+
 @query("ag1_document_frequency", f"""WITH {CHUNKS}, dt AS (SELECT id, {_TOK.format("section || ' ' || text")} AS t FROM ch), x AS (SELECT id, unnest(list_distinct(t)) AS term FROM dt) SELECT term, count(*) AS df FROM x GROUP BY 1""")
 def ag1(spark, d):
     return R.inverted_index(chunks(spark, d)).groupBy("term").agg(F.count("*").alias("df"))

@@ -155,3 +155,45 @@ def test_code_relevance(spark):
     assert score("tower") == [30, 30, 20, 0, 0]
     assert score("双塔") == [0, 24, 0, 0, 0]
     assert score("tower net") == [2, 32, 20, 2, 0]
+
+
+def test_hashed_cosine(spark, small):
+    docs = {r.doc_id: hashed(r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    q = {r.qid: hashed(r.query) for r in plans._queries(spark, small).collect()}
+    got = {(r.qid, r.doc_id): r.sim for r in plans.hashed(spark, small).collect()}
+    assert set(got) == {(i, d) for i in q for d in docs}
+    assert all(abs(got[i, d] - cosine(q[i], docs[d])) < 2e-6 for i, d in got)
+
+
+def test_diversify(spark):
+    """Greedy: each pick has the best mix of score and distance from what is picked already."""
+    from larkspan.operators import metrics
+
+    rng = random.Random(3)
+    rows = [(q, i, round(rng.random(), 3), [rng.choice([-1.0, 0.5, 1.0]) for _ in range(4)]) for q in (1, 2) for i in range(12)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    out = {(r.q, r["rank"]): r.i for r in metrics.diversify(spark.createDataFrame(rows, "q int, i int, s double, v array<double>"), "q", "i", "s", "v", 5).collect()}
+    for q in (1, 2):
+        left, picked = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1])), []
+        while len(picked) < 5:
+            value = lambda r: 0.7 * r[2] - 0.3 * max((cos(r[3], p[3]) for p in picked), default=0.0)  # noqa: B023, E731
+            best = max(left, key=value)
+            assert abs(value(best) - value(next(r for r in left if r[1] == out[q, len(picked) + 1]))) < 1e-9
+            best = next(r for r in left if r[1] == out[q, len(picked) + 1])
+            left.remove(best)
+            picked.append(best)
+
+
+def test_negative_samples(spark):
+    """Negatives come from the catalogue, are no positives, are as many as asked if the draws allow, and never change."""
+    from larkspan.operators import cf
+
+    rng = random.Random(4)
+    pairs = spark.createDataFrame(sorted({(rng.randrange(12), rng.randrange(300) * 7) for _ in range(80)}), "user long, item long")
+    items = spark.range(300).select((F.col("id") * 7).alias("item"))
+    runs = [sorted(tuple(r) for r in cf.negative_samples(pairs.repartition(n), items, 2).collect()) for n in (1, 5)]
+    seen = {tuple(r) for r in pairs.collect()}
+    assert runs[0] == runs[1] and not set(runs[0]) & seen and len(set(runs[0])) == len(runs[0])
+    assert {i for _, i in runs[0]} <= {7 * k for k in range(300)}
+    per = Counter(u for u, _ in seen)
+    assert all(n <= 2 * per[u] for u, n in Counter(u for u, _ in runs[0]).items()) and len(runs[0]) >= 1.9 * len(seen)
