@@ -145,9 +145,20 @@ def stream(spark, tmp_path, df, parts=3):
     return stateful.read_events(spark, path, df.schema)
 
 
-def run(df, name, mode):
+def finish(q, done=None):
+    """Wait for the end; a query with timeouts goes on for their sake, so ``done`` tells when it has done its work."""
+    import time
+
+    for _ in range(240):
+        if q.awaitTermination(0.1) or (done and done()):
+            break
+        time.sleep(0.4)
+    q.stop()
+
+
+def run(df, name, mode, done=None):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    finish(q, done and (lambda: done(df.sparkSession.table(name))))
     return df.sparkSession.table(name)
 
 
@@ -172,7 +183,7 @@ def test_stream_windows_match_batch(spark, tmp_path):
 
 def test_stream_recent_actions(spark, tmp_path):
     ev = events(spark)
-    out = run(stateful.recent_actions(stream(spark, tmp_path, ev, 1), ["user_id"], 3, 3600), "recent", "update")
+    out = run(stateful.recent_actions(stream(spark, tmp_path, ev, 1), ["user_id"], 3, 3600), "recent", "update", lambda t: t.count() == 3)
     assert sorted((r.user_id, r["items"]) for r in out.collect()) == [(u, [(i * 7) % 5 for i in range(60) if i % 3 == u][-3:]) for u in range(3)]
 
 

@@ -1,12 +1,14 @@
 """Stop and retry: a batch that fails is given again with its number, and stateful streams go on where they stopped."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from larkspan.operators import graph
 from larkspan.streaming import stateful
 
-from .test_operators import events, rows
+from .test_operators import events, finish, rows
 
 
 def test_failed_batch_is_tried_again(spark, tmp_path):
@@ -38,9 +40,10 @@ def append_stream(spark, tmp_path, ev, build, cut):
         part.coalesce(1).write.mode("append").parquet(source)
         df = build(stateful.read_events(spark, source, ev.schema))
         save = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        q = df.writeStream.outputMode(MODES[build]).foreachBatch(save).option("checkpointLocation", cp).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    return spark.read.parquet(out)
+        last = part.agg(F.max(F.unix_micros("ts"))).first()[0]
+        seen = lambda: "as_of" in df.columns and os.path.exists(out) and spark.read.schema(df.schema).parquet(out).agg(F.max("as_of")).first()[0] == last  # noqa: B023, E731
+        finish(df.writeStream.outputMode(MODES[build]).foreachBatch(save).option("checkpointLocation", cp).trigger(availableNow=True).start(), seen)
+    return spark.read.schema(df.schema).parquet(out)
 
 
 def edges_of(df):
