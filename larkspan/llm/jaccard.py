@@ -56,6 +56,9 @@ BLOCK_TOKENS = 1 << 18
 #: Tokens, and rows of the index, gathered in a worker before they are worked on.
 COUNT_BATCH = 3_000_000
 GATHER = 200_000
+#: The index is shuffled in this many passes, by token; tables of few tokens take one.
+PASSES = 3
+PASS_TOKENS = 4_000_000
 #: Vertices of rows without an id lie from here on.
 NO_ID = 1 << 62
 
@@ -143,8 +146,9 @@ def _needed(n: np.ndarray, similar: int) -> np.ndarray:
     return -(-similar * n // 100)
 
 
-def index_rows(docs: DataFrame, frequent: np.ndarray, k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """(key, doc_id, n, rare, often): the tokens of each extended prefix; ``rare`` is how many of them are rare."""
+def index_rows(docs: DataFrame, frequent: np.ndarray, k: int = SHINGLE, similar: int = SIMILAR, at_pass: int = 0, passes: int = 1) -> DataFrame:
+    """(key, doc_id, n, rare, often): the tokens of each extended prefix; ``rare`` is how many of them are rare.  Of
+    several passes each gives the tokens of its own."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     names = ["key", "doc_id", "n", "rare", "often"]
 
@@ -164,6 +168,9 @@ def index_rows(docs: DataFrame, frequent: np.ndarray, k: int = SHINGLE, similar:
             take = o[pos < reach[doc]]
             d, f = doc[take], often[take]
             rare = np.bincount(d[~f], minlength=len(n))
+            if passes > 1:
+                own = K.mix(values[take]) % K.U(passes) == at_pass
+                take, d, f = take[own], d[own], f[own]
             ids = batch.column("doc_id").slice(rows[0], len(rows)).to_numpy(zero_copy_only=False)
             for i in range(0, len(take), GATHER):
                 s = slice(i, i + GATHER)
@@ -482,6 +489,15 @@ def cross_links(named: DataFrame, docs: DataFrame, k: int, similar: int, block:
     return tasks.groupBy("key", "i", "j").applyInArrow(work, "a long, b long").distinct()
 
 
+def met_in_passes(docs: DataFrame, common: np.ndarray, k: int, similar: int, small: int, passes: int) -> DataFrame:
+    """``meet`` over the whole index: all rows of a token are in one pass, and the shuffle files of a pass go with it."""
+    out = None
+    for i in range(passes):
+        one = settle(meet(index_rows(docs, common, k, similar, i, passes), similar, small), "met")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _classes(docs: DataFrame, k: int, similar: int, frequent: int, small: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows has doc_id, n, h1, h2 and the vertex; classes has h1, h2, n, class_id and component_id, both vertices."""
     docs = docs.select("doc_id", "text")
@@ -494,7 +510,8 @@ def _classes(docs: DataFrame, k: int, similar: int, frequent: int, small: int, b
     docs = _with_vertices(docs, k)
     singles = ids_filter(docs, settle(copies, "copies"), "doc_id", "left_anti")
     common = frequent_tokens(scanned, frequent)
-    met = settle(meet(index_rows(singles, common, k, similar), similar, small), "met")
+    passes = PASSES if (classes.agg(F.sum("n")).first()[0] or 0) > PASS_TOKENS else 1
+    met = met_in_passes(singles, common, k, similar, small, passes)
     keys, loads = class_keys(met)
     near = counted_pairs(met, loads, similar)
     links = settle(verify(near.where("first").select("a", "b").unionByName(pivot_pairs(keys, similar)), docs, k, similar), "links")
