@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from larkspan.llm import jaccard
+from larkspan.llm import common, jaccard
 from larkspan.llm.common import settle
 
 
@@ -51,3 +51,18 @@ def test_shuffle_files_go_with_the_step(spark):
     before = shuffled()
     settle(spark.range(100_000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counted")
     assert not shuffled() - before
+
+
+def test_a_large_heap_is_collected_after_a_step(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def full():
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    steps = []
+    for share in (0.0, 1.0):
+        monkeypatch.setattr(common, "HEAP_SHARE", share)
+        before = full()
+        assert settle(spark.range(10), "small").count() == 10
+        steps.append(full() - before)
+    assert steps[0] >= 1 and steps[1] == 0
