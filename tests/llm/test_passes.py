@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from larkspan.llm import common, jaccard
+from larkspan.llm import common, components, jaccard
 from larkspan.llm.common import settle
 
 
@@ -66,3 +66,17 @@ def test_a_large_heap_is_collected_after_a_step(spark, monkeypatch):
         assert settle(spark.range(10), "small").count() == 10
         steps.append(full() - before)
     assert steps[0] >= 1 and steps[1] == 0
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 440)] + [(7, 7)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    steps = []
+    monkeypatch.setattr(components, "settle", lambda df, name: steps.append(name) or settle(df, name))
+    local = sorted(tuple(r) for r in components.components(links).collect())
+    assert len(steps) == 1
+    monkeypatch.setattr(components, "LOCAL_EDGES", 50)
+    assert sorted(tuple(r) for r in components.components(links).collect()) == local and len(steps) > 3
+    monkeypatch.setattr(components, "LOCAL_EDGES", 100_000)
+    assert components.components(links.limit(0)).count() == 0
