@@ -16,7 +16,8 @@ the class of its member with the least hash, and that class alone is a key.
 
 In the buckets of classes every member is compared with two pivots, and links make components.  Only what stands outside
 a bucket's largest component is then compared with the bucket, block by block and never within a component; a block
-reports no more links than it needs to join components.  So a group of near copies never becomes all its pairs, nothing
+reports no more links than it needs to join components.  Texts, and blocks, travel in passes once they are many, and a
+settled table goes as soon as no step reads it.  So a group of near copies never becomes all its pairs, nothing
 unbounded is gathered in a task, and no component is missed.  Documents with equal sets are one vertex from the start.
 
 The frequent tokens are found by counts over all documents, kept per batch of tokens when at least two; being an
@@ -37,8 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import kernel as K
-from .common import ids_filter, settle, shuffle_parts
+from .common import forget, ids_filter, settle, shuffle_parts
 from .components import components
 
 SHINGLE = 5
@@ -59,6 +61,9 @@ GATHER = 200_000
 #: The index is shuffled in this many passes, by token; tables of few tokens take one.
 PASSES = 3
 PASS_TOKENS = 4_000_000
+#: Pairs whose texts travel at once, and bytes of token sets that travel to blocks at once; more take passes.
+PASS_PAIRS = 1_000_000
+PASS_BYTES = 1 << 30
 #: Vertices of rows without an id lie from here on.
 NO_ID = 1 << 62
 
@@ -312,14 +317,17 @@ def class_keys(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the pair of a class with itself takes two tokens of it
     two = two.where((F.col("x.class") != F.col("y.class")) | (F.col("x.t") > 1))
     pairs = two.select(F.xxhash64("x.class", "y.class").alias("key"), "doc_id", "n", "rest", F.lit(None).cast("array<bigint>").alias("tokens"), F.lit(None).cast("long").alias("total"))
-    alone = settle(rows.where("not often").groupBy("doc_id", "n", "rest", "class").agg(F.collect_list("key").alias("tokens")), "alone")
-    loads = settle(alone.groupBy("doc_id").agg(F.sum(F.size("tokens")).alias("total")), "loads")
-    alone = alone.join(loads, "doc_id").select(F.xxhash64("class").alias("key"), "doc_id", "n", "rest", "tokens", "total")
-    keys = settle(pairs.unionByName(alone), "keys")
+    listed = settle(rows.where("not often").groupBy("doc_id", "n", "rest", "class").agg(F.collect_list("key").alias("tokens")), "alone")
+    loads = settle(listed.groupBy("doc_id").agg(F.sum(F.size("tokens")).alias("total")), "loads")
+    alone = listed.join(loads, "doc_id").select(F.xxhash64("class").alias("key"), "doc_id", "n", "rest", "tokens", "total")
+    every = settle(pairs.unionByName(alone), "keys")
+    forget(listed)
     # buckets with the same members are one
-    same = keys.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id", "n")).alias("x1"), F.bit_xor(F.xxhash64("n", "doc_id", F.lit(1))).alias("x2"))
+    same = every.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id", "n")).alias("x1"), F.bit_xor(F.xxhash64("n", "doc_id", F.lit(1))).alias("x2"))
     chosen = settle(same.where("m > 1").groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key", "m"), "chosen")
-    return settle(keys.join(chosen, "key"), "keys"), loads
+    keys = settle(every.join(chosen, "key"), "keys")
+    forget(every)
+    return keys, loads
 
 
 def pivot_pairs(keys: DataFrame, similar: int) -> DataFrame:
@@ -343,11 +351,36 @@ def pivot_pairs(keys: DataFrame, similar: int) -> DataFrame:
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """The pairs (a, b) whose sets are similar, decided on the shingles of the whole texts; of an id with several texts
-    one is enough.  The texts of b travel to those of a, so b should be what many pairs share."""
+    one is enough.  The texts of b travel to those of a, so b should be what many pairs share.
+
+    Many pairs are dealt to passes by b, so that the ids of a pass can be broadcast and only texts that are needed travel;
+    their shuffle files go with the pass."""
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
     pairs = pairs.groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.max("b").alias("b"))
     pairs = settle(pairs.select(F.when(F.col("b") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("a"), "b"), "pairs")
     ids = settle(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    return _verified_in_passes(pairs, ids, docs, k, similar)
+
+
+def _verified_in_passes(pairs: DataFrame, ids: DataFrame, docs: DataFrame, k: int, similar: int, by: str = "b") -> DataFrame:
+    n, m = ids.count(), pairs.count()
+    # a document is in two pairs or so, hence in the ids of two passes
+    passes = -(-2 * n // common.BROADCAST_IDS) if n > common.BROADCAST_IDS else 1
+    passes = max(passes, -(-m // PASS_PAIRS) if by == "b" else m // (2 * PASS_PAIRS))
+    if passes < 2:
+        return _verified(pairs, ids, docs, k, similar)
+    out = None
+    for i in range(passes):
+        own = pairs.where(F.pmod(F.xxhash64(by, F.lit(7)), F.lit(passes)) == i)
+        met = settle(own.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+        # a pass that has more than its share, as when very many meet one pivot, is dealt once more, by a
+        one = _verified_in_passes(own, met, docs, k, similar, "a") if by == "b" else _verified(own, met, docs, k, similar)
+        one = settle(one, "verified")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _verified(pairs: DataFrame, ids: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
     texts = ids_filter(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ids, "doc_id", "left_semi")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
@@ -387,7 +420,16 @@ def token_sets(docs: DataFrame, ids: DataFrame, k: int = SHINGLE) -> DataFrame:
             out = [half[at[i] : at[i + 1]].tobytes() for i in range(len(rows))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(rows[0], len(rows)), pa.array(np.diff(at).astype(np.int32)), pa.array(out, pa.binary())], ["doc_id", "n", "tokens"])
 
-    return ids_filter(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInArrow(work, "doc_id long, n int, tokens binary").distinct()
+    # more ids than can be broadcast take passes by id, so that no text is shuffled to find those that are needed
+    n = ids.count()
+    passes = 1 if n <= common.BROADCAST_IDS else -(-5 * n // (4 * common.BROADCAST_IDS))
+    out = None
+    for i in range(passes):
+        own = lambda df: df if passes < 2 else df.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(passes)) == i)  # noqa: B023, E731
+        kept = ids_filter(own(docs.select("doc_id", "text")), own(ids), "doc_id", "left_semi")
+        one = settle(kept.mapInArrow(work, "doc_id long, n int, tokens binary").distinct(), "sets")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def partners(keys: DataFrame, labels: DataFrame, similar: int, most: int = PRUNED) -> DataFrame:
@@ -399,9 +441,9 @@ def partners(keys: DataFrame, labels: DataFrame, similar: int, most: int = PRUNE
     tokens of small buckets besides is one of ``counted_pairs``.
     """
     named = keys.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    named = settle(named.withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id"), "named")
-    split = settle(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "split")
-    named = named.join(split, "key")
+    settled = settle(named.withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id"), "named")
+    split = settle(settled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "split")
+    named = settled.join(split, "key")
     few = F.col("tokens").isNotNull() & (F.col("m") <= most)
 
     def work(table: pa.Table) -> pa.Table:
@@ -420,7 +462,9 @@ def partners(keys: DataFrame, labels: DataFrame, similar: int, most: int = PRUNE
         return t.select(["key", "doc_id", "n", "c"]).filter(pa.array((fits & apart & (reach >= need)).any(axis=1)))
 
     pruned = named.where(few).groupBy("key").applyInArrow(work, "key long, doc_id long, n int, c long")
-    return settle(pruned.unionByName(named.where(~few).select("key", "doc_id", "n", "c")), "partners")
+    out = settle(pruned.unionByName(named.where(~few).select("key", "doc_id", "n", "c")), "partners")
+    forget(settled)
+    return out
 
 
 def _joining_links(ids, n, comp, outside, inside, flat, start, similar, all_links):
@@ -461,22 +505,27 @@ def _joining_links(ids, n, comp, outside, inside, flat, start, similar, all_link
 def cross_links(named: DataFrame, docs: DataFrame, k: int, similar: int, block: int = BLOCK_TOKENS, all_links: bool = False) -> DataFrame:
     """(a, b): within the buckets of ``partners``, links that join components, by the halves of the tokens.
 
-    What is outside a bucket's largest component meets the whole bucket, in blocks of about ``block`` tokens.
+    What is outside a bucket's largest component meets the whole bucket, in blocks of about ``block`` tokens.  Buckets are
+    dealt to passes, so that about PASS_BYTES of token sets travel at once.
     """
     parts = named.groupBy("key", "c").agg(F.sum("n").alias("tokens"))
     most = F.max(F.struct("tokens", "c"))
     split = parts.groupBy("key").agg(F.count("*").alias("k"), F.sum("tokens").alias("all"), most.alias("most")).where("k > 1")
     blocks = lambda x: F.greatest(F.lit(1), F.ceil(x / block)).cast("int")
-    split = settle(split.select("key", F.col("most.c").alias("main"), blocks(F.col("all")).alias("nb"), blocks(F.col("all") - F.col("most.tokens")).alias("sb")), "split")
-    if split.isEmpty():
+    outer = F.col("all") - F.col("most.tokens")
+    split = split.select("key", F.col("most.c").alias("main"), blocks(F.col("all")).alias("nb"), blocks(outer).alias("sb"), "all", outer.alias("outer"))
+    split = settle(split, "split")
+    sent = split.agg(F.sum(4 * (F.col("all") * F.col("sb") + F.col("outer") * F.col("nb")))).first()[0]
+    if sent is None:
         return named.select(F.col("doc_id").alias("a"), F.col("c").alias("b")).limit(0)
-    rows = settle(named.join(split, "key").withColumn("outside", F.col("c") != F.col("main")), "rows")
-    sets = settle(token_sets(docs, rows.select("doc_id").distinct(), k), "sets")
+    passes = -(-sent // PASS_BYTES)
+    rows = settle(named.join(split.drop("all", "outer"), "key").withColumn("outside", F.col("c") != F.col("main")), "rows")
+    sets = token_sets(docs, settle(rows.select("doc_id").distinct(), "ids"), k)
     at = lambda salt, of: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(of)).cast("int")
     alone = (F.col("nb") == 1) & (F.col("sb") == 1)
     whole = rows.select("key", "doc_id", "c", F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("i"), at(1, "nb").alias("j"), F.when(alone & F.col("outside"), 2).otherwise(0).alias("role"))
     apart = rows.where(~alone & F.col("outside")).select("key", "doc_id", "c", at(2, "sb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(1).alias("role"))
-    tasks = whole.unionByName(apart).join(sets, "doc_id").select("key", "i", "j", "doc_id", "n", "c", "role", "tokens")
+    tasks = whole.unionByName(apart)
 
     def work(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
@@ -486,7 +535,14 @@ def cross_links(named: DataFrame, docs: DataFrame, k: int, similar: int, block:
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return tasks.groupBy("key", "i", "j").applyInArrow(work, "a long, b long").distinct()
+    out = None
+    for i in range(passes):
+        own = tasks.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(passes)) == i) if passes > 1 else tasks
+        own = own.join(sets, "doc_id").select("key", "i", "j", "doc_id", "n", "c", "role", "tokens")
+        one = settle(own.groupBy("key", "i", "j").applyInArrow(work, "a long, b long").distinct(), "joining")
+        out = one if out is None else out.unionByName(one)
+    forget(sets)
+    return out.distinct() if passes > 1 else out
 
 
 def met_in_passes(docs: DataFrame, common: np.ndarray, k: int, similar: int, small: int, passes: int) -> DataFrame:
@@ -502,18 +558,20 @@ def _classes(docs: DataFrame, k: int, similar: int, frequent: int, small: int, b
     """(rows, classes): rows has doc_id, n, h1, h2 and the vertex; classes has h1, h2, n, class_id and component_id, both vertices."""
     docs = docs.select("doc_id", "text")
     scanned = settle(scan(docs, k), "scan")
-    slim = scanned.where("n is not null").select("doc_id", "n", "h1", "h2", _vertex().alias("vertex"))
+    often = frequent_tokens(scanned, frequent)
+    slim = settle(scanned.where("n is not null").select("doc_id", "n", "h1", "h2", _vertex().alias("vertex")), "slim")
+    forget(scanned)
     classes = settle(slim.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("vertex").alias("class_id"), F.count("*").alias("c")), "classes")
     # copies that stand for no class leave; documents without shingles have no index rows anyway
     members = slim.join(classes.where("c > 1"), ["h1", "h2", "n"]).where(F.col("vertex") != F.col("class_id"))
     copies = members.select(F.col("vertex").alias("doc_id")).distinct().join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_anti")
     docs = _with_vertices(docs, k)
     singles = ids_filter(docs, settle(copies, "copies"), "doc_id", "left_anti")
-    common = frequent_tokens(scanned, frequent)
     passes = PASSES if (classes.agg(F.sum("n")).first()[0] or 0) > PASS_TOKENS else 1
-    met = met_in_passes(singles, common, k, similar, small, passes)
+    met = met_in_passes(singles, often, k, similar, small, passes)
     keys, loads = class_keys(met)
     near = counted_pairs(met, loads, similar)
+    forget(met)
     links = settle(verify(near.where("first").select("a", "b").unionByName(pivot_pairs(keys, similar)), docs, k, similar), "links")
     # classes that share an id are one vertex already; rows of one id with equal sets need no link
     labels = settle(components(links), "labels")
@@ -521,12 +579,13 @@ def _classes(docs: DataFrame, k: int, similar: int, frequent: int, small: int, b
     rest = near.where("not first").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = rest.where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
     open_ = partners(keys, labels, similar)
-    across = settle(cross_links(open_, docs, k, similar, block), "across")
+    forget(keys)
+    across = cross_links(open_, docs, k, similar, block)
     more = settle(verify(rest.unionByName(across), docs, k, similar), "more")
     pair = F.struct(F.least("a", "b"), F.greatest("a", "b")).alias("p")
     if not across.select(pair).join(more.select(pair), "p", "left_anti").isEmpty():
         # halves of tokens made a link that the texts refute, and it may have hidden another: all are tried
-        every = settle(cross_links(open_, docs, k, similar, block, all_links=True), "across")
+        every = cross_links(open_, docs, k, similar, block, all_links=True)
         more = more.unionByName(settle(verify(every, docs, k, similar), "more"))
     if not more.isEmpty():
         known = labels.select(F.col("id").alias("a"), F.col("component_id").alias("b"))

@@ -80,3 +80,55 @@ def test_few_edges_take_no_rounds(spark, monkeypatch):
     assert sorted(tuple(r) for r in components.components(links).collect()) == local and len(steps) > 3
     monkeypatch.setattr(components, "LOCAL_EDGES", 100_000)
     assert components.components(links.limit(0)).count() == 0
+
+
+def _near_copies(spark, copies=12, texts=40):
+    """``copies`` of each text that differ in a word of their own at either end, and pairs across by chance."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    bases = [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(texts)]
+    rows = [(1000 * k + i, f"c{k} {x} c{k}" if k else x) for k in range(copies) for i, x in enumerate(bases)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_many_pairs_and_blocks_take_passes(spark, monkeypatch):
+    """Beyond what is broadcast neither the texts nor the token sets are shuffled whole or at once."""
+    docs = settle(_near_copies(spark).unionByName(_docs(spark).select((F.col("doc_id") + 10**6).alias("doc_id"), "text")), "docs")
+    want = sorted(tuple(r) for r in jaccard.similar_components(docs).collect())
+    assert sum(r[0] != r[3] for r in want) >= 11 * 40
+    steps, held = [], []
+    monkeypatch.setattr(jaccard, "settle", lambda df, name: steps.append(name) or settle(df, name))
+    monkeypatch.setattr(jaccard, "ids_filter", lambda df, ids, key, how: held.append(ids.count()) or common.ids_filter(df, ids, key, how))
+    monkeypatch.setattr(common, "BROADCAST_IDS", 150)
+    monkeypatch.setattr(jaccard, "PASS_BYTES", 20_000)
+    assert sorted(tuple(r) for r in jaccard.similar_components(docs).collect()) == want
+    assert steps.count("verified") > 4 and max(held) <= 150
+    steps.clear()
+    monkeypatch.setattr(common, "BROADCAST_IDS", 400_000)
+    monkeypatch.setattr(jaccard, "PASS_PAIRS", 400)
+    assert sorted(tuple(r) for r in jaccard.similar_components(docs).collect()) == want
+    assert steps.count("verified") > 1
+
+
+def test_blocks_in_passes(spark, monkeypatch):
+    """Links across components are the same whether buckets travel at once or in passes."""
+    docs = settle(_near_copies(spark, 4, 12), "docs")
+    ids = docs.select("doc_id", (F.col("doc_id") % 3).alias("key"), F.col("doc_id").alias("c"))
+    named = settle(ids.join(jaccard.token_sets(docs, ids.select("doc_id"), 5).select("doc_id", "n"), "doc_id"), "named")
+    links = lambda: sorted(tuple(r) for r in jaccard.cross_links(named, docs, 5, 80, all_links=True).collect())
+    want = links()
+    steps = []
+    monkeypatch.setattr(jaccard, "settle", lambda df, name: steps.append(name) or settle(df, name))
+    monkeypatch.setattr(jaccard, "PASS_BYTES", 4_000)
+    monkeypatch.setattr(common, "BROADCAST_IDS", 20)
+    assert links() == want and want
+    assert steps.count("joining") > 1 and steps.count("sets") > 1
+
+
+def test_settled_tables_go_when_read(spark):
+    root = common.scratch_root(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(root))
+    out = jaccard.similar_components(_near_copies(spark))
+    left = {x.split("-")[0] for x in set(os.listdir(root)) - before}
+    assert "slim" in left and not left & {"scan", "met", "alone", "keys", "sets"}
+    assert out.count() == 12 * 40
